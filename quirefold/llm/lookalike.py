@@ -82,7 +82,7 @@ def form(text: str) -> str:
 # Characters that stay themselves unless a mark follows; only a shortcut, any
 # character outside takes the long way: ASCII, Latin letters with accents,
 # Cyrillic letters without a Latin double, CJK, kana, Hangul, Thai, quotes.
-_INERT = "\\x00-\\x08\\x0a-\\x7e\\u00a1\\u00ab\\u00bb\\u00bf-\\u0130\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u0411\\u0413\\u0414\\u0416-\\u0419\\u041b\\u041f\\u0423\\u0424\\u0426-\\u042f\\u0431-\\u0434\\u0436-\\u043d\\u043f\\u0442\\u0444\\u0446-\\u044f\\u0e01-\\u0e32\\u0e40-\\u0e46\\u0e4c\\u2010\\u2012-\\u2016\\u2018-\\u201f\\u3001-\\u3029\\u3030\\u3041-\\u3096\\u30a1-\\u30fe\\u4e00-\\u9fff\\uac00-\\ud7a3"
+_INERT = "\\x00-\\x08\\x0a-\\x7e\\u00a1\\u00ab\\u00bb\\u00bf-\\u0130\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u0411\\u0413\\u0414\\u0416-\\u0419\\u041b\\u041f\\u0424\\u0426-\\u042f\\u0431-\\u0434\\u0436-\\u043d\\u043f\\u0442\\u0444\\u0446-\\u044f\\u0e01-\\u0e32\\u0e40-\\u0e46\\u0e4c\\u2010\\u2012-\\u2016\\u2018-\\u201f\\u3001-\\u3029\\u3030\\u3041-\\u3096\\u30a1-\\u30fe\\u4e00-\\u9fff\\uac00-\\ud7a3"
 # What can belong to the character before it: marks, invisible characters,
 # conjoining vowels and finals, voicing marks of half width.
 _AFTER = "\\p{M}\\p{Cf}\\u1160-\\u11ff\\ud7b0-\\ud7ff\\uff9e\\uff9f\\u3164\\uffa0"
