@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.llm.leakage import find_leaks
 from quirefold.llm.lookalike import one_form, same_look
+from quirefold.llm.mixing import balance, token_counts
 from quirefold.llm.segmentation import split_sentences
 from quirefold.llm.splitting import split_oversized
 from quirefold.session import spread, table
 
+#: The public vocabulary whose tokens sizes are counted in.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
 _IDS = ["source_table", "owner_id", "record_id"]
 
 
@@ -52,6 +57,30 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return p5_split(spark, sf).select(*_IDS, F.posexplode("pieces").alias("piece_no", "p")).select(*_IDS, "piece_no", "p.start_pos", "p.end_pos", "p.cut").distinct()
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a test passage, wholly or in large part."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return find_leaks(docs, "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage").select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def _mix(spark: SparkSession, sf: str, vocabulary: str | None = None):
+    import public_tokenizers
+
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    sized = token_counts(docs, "text", ["doc_id", "source"], vocabulary or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return balance(sized, "doc_id", table(spark, sf, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached per source."""
+    return _mix(spark, sf)[1]
+
+
+def p8_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mix, each with its number of copies."""
+    return _mix(spark, sf)[0]
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents that differ in characters but look the same."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
@@ -79,6 +108,9 @@ QUERIES = {
     "p1_found": p1_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p7_found": p7_found,
+    "p8_shares": p8_shares,
+    "p8_copies": p8_copies,
     "p9_found": p9_found,
     "p9_forms": p9_forms,
 }
