@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.llm.langid import LANGUAGES, identify
 from quirefold.llm.leakage import find_leaks
 from quirefold.llm.lookalike import one_form, same_look
 from quirefold.llm.mixing import balance, token_counts
 from quirefold.llm.segmentation import split_sentences
 from quirefold.llm.splitting import split_oversized
-from quirefold.session import spread, table
+from quirefold.session import cut_lineage, spread, table
 
 #: The public vocabulary whose tokens sizes are counted in.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
+#: Confidence under which a short block is taken to be in its book's language.
+UNSURE = 0.1
+
 _IDS = ["source_table", "owner_id", "record_id"]
 
 
@@ -35,6 +39,31 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return split_sentences(spread(rows), "text", _IDS).distinct()
 
 
+def _languages(spark: SparkSession, sf: str) -> DataFrame:
+    """book_id, block_id, label_lang and segments of every block with letters;
+    blocks that are too short, or that the models hardly tell apart, are one
+    segment in the language of most of their book's text."""
+    blocks = table(spark, sf, "blocks").select("book_id", "block_id", "language", "original_text")
+    found = cut_lineage(identify(spread(blocks), "original_text", "language", ["book_id", "block_id"]).where("has_letters"))
+    sizes = found.select("book_id", F.inline("segments")).groupBy("book_id", "lang").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("n"))
+    books = sizes.groupBy("book_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("book_lang"))
+    one = F.array(F.struct(F.lit(0).alias("start_pos"), F.lit(None).cast("int").alias("end_pos"), F.col("book_lang").alias("lang"), F.lit(0.0).cast("double").alias("confidence")))
+    unsure = (F.size("segments") == 0) | ((F.size("segments") == 1) & (F.col("segments")[0]["confidence"] < UNSURE) & (F.col("segments")[0]["end_pos"] < 60))
+    rows = found.join(books, "book_id", "left")
+    return rows.withColumn("segments", F.when(unsure & F.col("book_lang").isNotNull(), one).otherwise(F.col("segments")))
+
+
+def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every block's segments with language and confidence."""
+    return _languages(spark, sf).select("book_id", "block_id", F.posexplode("segments").alias("seg_ord", "s")).select("book_id", "block_id", "seg_ord", "s.*").distinct()
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks without or with a wrong label, and mixed ones."""
+    rows = _languages(spark, sf).where((F.size("segments") > 1) | F.col("label_lang").isNull() | ~F.col("label_lang").isin(*LANGUAGES) | (F.col("label_lang") != F.col("segments")[0]["lang"]))
+    return rows.select("book_id", "block_id", F.posexplode("segments").alias("seg_ord", "s")).select("book_id", "block_id", "seg_ord", F.col("s.lang").alias("seg_lang")).distinct()
+
+
 def _limited(spark: SparkSession, sf: str) -> DataFrame:
     items = _blocks(spark, sf, F.col("block_type").alias("item_kind")).unionByName(_scenes(spark, sf, F.col("purpose").alias("item_kind")))
     limits = table(spark, sf, "split_limits").groupBy("source_table", "item_kind").agg(F.min("size_limit").alias("size_limit"), F.max("overlap_chars").alias("overlap_chars"))
@@ -106,6 +135,8 @@ with items as (
 
 QUERIES = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p7_found": p7_found,
