@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quirefold.llm.langid import LANGUAGES, identify
 from quirefold.llm.leakage import find_leaks
 from quirefold.llm.lookalike import one_form, same_look
 from quirefold.llm.mixing import balance, token_counts
+from quirefold.llm.scanned import find_damage, paragraphs
 from quirefold.llm.segmentation import split_sentences
 from quirefold.llm.splitting import split_oversized
 from quirefold.session import cut_lineage, spread, table
@@ -39,6 +42,48 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return split_sentences(spread(rows), "text", _IDS).distinct()
 
 
+def _scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Scanned blocks with the titles of their chapter; all clean texts."""
+    blocks = table(spark, sf, "blocks")
+    kinds = F.col("pdf_kind").isin("scanned", "mixed") & F.col("block_type").isin("paragraph", "quote", "footnote", "list")
+    pages = blocks.where(kinds).select("book_id", "block_id", "chapter_id", "page", "original_text")
+    heads = (
+        table(spark, sf, "chapters")
+        .select("book_id", "chapter_id", F.explode(F.array("title", "book_title")).alias("head"))
+        .where(F.col("head").isNotNull())
+        .groupBy("book_id", "chapter_id")
+        .agg(F.sort_array(F.collect_set("head")).alias("heads"))
+    )
+    clean = blocks.where(F.col("pdf_kind") == "digital").select(F.col("original_text").alias("text")).unionByName(table(spark, sf, "scenes").select(F.col("voice_text").alias("text")))
+    return pages.join(heads, ["book_id", "chapter_id"], "left"), clean
+
+
+def _damage(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    pages, clean = _scanned(spark, sf)
+    text_key = F.xxhash64("original_text").alias("text_key")
+    pages = pages.select("*", text_key)
+    return pages, find_damage(spread(pages), "original_text", "page", "heads", ["book_id", "block_id", "text_key"], spread(clean), "text")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Furniture, broken and misread words of scanned blocks."""
+    return _damage(spark, sf)[1].select("book_id", "block_id", "line_no", "defect", "repaired").distinct()
+
+
+def p3_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The scanned blocks as continuous paragraphs."""
+    pages, damage = _damage(spark, sf)
+    keys = ["book_id", "block_id", "text_key"]
+    per_block = damage.distinct().groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_no", "defect", "seen", "repaired"))).alias("damage"))
+
+    @F.pandas_udf(StringType())
+    def put(texts: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None else paragraphs(t, [(d["line_no"], d["defect"], d["seen"], d["repaired"]) for d in (r if r is not None else ())]) for t, r in zip(texts, rows, strict=True)])
+
+    texts = pages.where(F.col("original_text").isNotNull()).select(*keys, "original_text").distinct()
+    return texts.join(per_block, keys, "left").select("book_id", "block_id", put("original_text", "damage").alias("repaired_text")).distinct()
+
+
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
     """book_id, block_id, label_lang and segments of every block with letters;
     blocks that are too short, or that the models hardly tell apart, are one
@@ -48,7 +93,7 @@ def _languages(spark: SparkSession, sf: str) -> DataFrame:
     sizes = found.select("book_id", F.inline("segments")).groupBy("book_id", "lang").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("n"))
     books = sizes.groupBy("book_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("book_lang"))
     one = F.array(F.struct(F.lit(0).alias("start_pos"), F.lit(None).cast("int").alias("end_pos"), F.col("book_lang").alias("lang"), F.lit(0.0).cast("double").alias("confidence")))
-    unsure = (F.size("segments") == 0) | ((F.size("segments") == 1) & (F.col("segments")[0]["confidence"] < UNSURE) & (F.col("segments")[0]["end_pos"] < 60))
+    unsure = (F.size("segments") == 0) | ((F.size("segments") == 1) & (F.get("segments", 0)["confidence"] < UNSURE) & (F.get("segments", 0)["end_pos"] < 60))
     rows = found.join(books, "book_id", "left")
     return rows.withColumn("segments", F.when(unsure & F.col("book_lang").isNotNull(), one).otherwise(F.col("segments")))
 
@@ -60,7 +105,7 @@ def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks without or with a wrong label, and mixed ones."""
-    rows = _languages(spark, sf).where((F.size("segments") > 1) | F.col("label_lang").isNull() | ~F.col("label_lang").isin(*LANGUAGES) | (F.col("label_lang") != F.col("segments")[0]["lang"]))
+    rows = _languages(spark, sf).where((F.size("segments") > 1) | F.col("label_lang").isNull() | ~F.col("label_lang").isin(*LANGUAGES) | (F.col("label_lang") != F.get("segments", 0)["lang"]))
     return rows.select("book_id", "block_id", F.posexplode("segments").alias("seg_ord", "s")).select("book_id", "block_id", "seg_ord", F.col("s.lang").alias("seg_lang")).distinct()
 
 
@@ -135,6 +180,8 @@ with items as (
 
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_texts": p3_texts,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
     "p5_found": p5_found,
