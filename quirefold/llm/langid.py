@@ -35,7 +35,7 @@ SAMPLE_CHARS = 20_000
 SHORT = (12, 4)
 
 _SPACE = re.compile(r"[\W\d_]+")
-_DENSE = re.compile(r"[぀-ヿ㐀-鿿가-힣豈-﫿]")
+_DENSE = re.compile(r"[぀-ヿ㐀-鿿가-힣\uf900-\ufaff]")
 
 
 def plain_tag(tag: str | None) -> str | None:

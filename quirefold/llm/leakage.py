@@ -32,7 +32,7 @@ LEAST = 0.5
 #: Share of a stretch that changed words and marks may take.
 MOST_CHANGED = 0.38
 _DROP = re.compile(r"[\W_]+")
-_WIDE = re.compile(r"[ᄀ-ᇿ぀-ヿ㐀-鿿가-힣豈-﫿]")
+_WIDE = re.compile(r"[ᄀ-ᇿ぀-ヿ㐀-鿿가-힣\uf900-\ufaff]")
 
 
 @lru_cache(maxsize=1)

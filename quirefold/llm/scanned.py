@@ -27,7 +27,7 @@ TRAIN_KNOWN = 60_000
 #: Known words held by each task to save sending them; the rest is joined.
 FREQUENT = 200_000
 #: Unknown words that must show an operation before it is believed.
-LEAST_SHOWN = 3
+LEAST_SHOWN = 2
 #: Candidates per unknown word that are looked up.
 CANDIDATES = 24
 #: Likeness of a line to its chapter's title that makes it a header.
@@ -37,7 +37,7 @@ LIKE_TITLE = 0.8
 HYPHENS = "-‐‑¬­"
 _PAGE_NO = re.compile(r"^[\W_]*(?:第|p\.|pp\.|page|seite|s\.|pág\.|стр\.|с\.|หน้า|쪽)?\s*(\d{1,5}|[ivxlc]+)\s*(?:页|頁|ページ|쪽)?[\W_]*$", re.IGNORECASE)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
-_CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_CJK = re.compile(r"[々-〇぀-ヿ㐀-鿿\uf900-\ufaff]")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _KEY = re.compile(r"[\W\d_]+")
 
@@ -285,11 +285,12 @@ def _holes(word: str) -> Iterator[str]:
             yield word[:i] + "*" + word[i + 2 :]
 
 
-def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, str] | None = None) -> Editor:
+def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, list[str]] | None = None) -> Editor:
     """The editor, from unknown words and the known ones next to them.
 
-    ``wide``: unknown CJK windows and what the middle has to be, if there is
-    just one known window with the same neighbours. An operation counts that
+    ``wide``: unknown CJK windows, and what stands in the middle of the known
+    windows with the same neighbours; of a character the middle is taken that
+    most of its windows allow, three at least. An operation counts that
     LEAST_SHOWN words show; known words teach what to keep.
     """
     near: dict[str, list[str]] = defaultdict(list)
@@ -309,8 +310,14 @@ def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, str]
                 best = (known[w], w, d)
         if best:
             found.append((u, *best[2]))
-    for window, middle in (wide or {}).items():
-        found.append((window, 1, window[1], middle))
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for window, middles in (wide or {}).items():
+        votes[window[1]].update(middles)
+    for window, middles in (wide or {}).items():
+        own = votes[window[1]]
+        right, n = min(own.items(), key=lambda x: (-x[1], x[0]))
+        if right in middles and n > 2 and 2 * n >= max(own.total() / len(own), n):
+            found.append((window, 1, window[1], right))
     shown: dict[tuple[str, str], set[str]] = defaultdict(set)
     for u, _, x, y in found:
         shown[(x, y)].add(u)
@@ -386,8 +393,8 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
     around = F.concat(F.substring("form", 1, 1), F.substring("form", 3, 1)).alias("around")
     some = seen.where((F.col("kind") == "cjk")).orderBy(F.xxhash64("form")).limit(TRAIN_UNKNOWN).select("form", around)
     middles = known.where((F.col("kind") == "cjk") & (F.col("n") >= 2)).select(around, F.substring("form", 2, 1).alias("middle"), "n").join(F.broadcast(some.select("around").distinct()), "around")
-    alone = middles.groupBy("around").agg(F.count(F.lit(1)).alias("k"), F.max("middle").alias("middle")).where("k = 1")
-    wide = {r["form"]: r["middle"] for r in some.join(alone, "around").collect() if r["form"][1] != r["middle"]}
+    several = middles.groupBy("around").agg(F.sort_array(F.collect_set("middle")).alias("middles"))
+    wide = {r["form"]: r["middles"] for r in some.join(several, "around").collect() if r["form"][1:2] not in r["middles"]}
     editor = spark.sparkContext.broadcast(train_editor(words, table, wide))
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
