@@ -119,7 +119,7 @@ def parts(text: str, page: int | None, titles: list[str], known: set[str]) -> li
     """(line, kind, text, other) of a block: its furniture (header, page_no),
     its words broken at a line end (hyphen: joined; other: with the hyphen),
     and what is not in ``known``: words (word) and CJK characters between
-    their neighbours (cjk)."""
+    their neighbours (cjk, with two neighbours on each side)."""
     lines = text.split("\n")
     kinds = furniture(lines, page, titles)
     out: list[tuple[int, str, str, str]] = [(i, k, "", "") for i, k in enumerate(kinds) if k]
@@ -157,7 +157,7 @@ def parts(text: str, page: int | None, titles: list[str], known: set[str]) -> li
             if _CJK.match(flat[j]):
                 w = flat[j - 1] + flat[j] + flat[j + 1]
                 if w not in known:
-                    out.append((line_at[j], "cjk", w, "".join(flat[max(0, j - 2) : j + 3])))
+                    out.append((line_at[j], "cjk", (flat[j - 2] if j > 1 else " ") + w + (flat[j + 2] if j + 2 < len(flat) else " "), ""))
     return out
 
 
@@ -328,6 +328,20 @@ def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, list
     return editor
 
 
+def _corrections(editor: Editor, kind: str, seen: str) -> list[dict]:
+    """Candidates for an unknown form, each with the forms that it makes: a word
+    itself; a CJK character the windows of it and of its CJK neighbours."""
+    if kind != "cjk":
+        return [{"fixed": w, "score": s, "forms": [w.lower()]} for w, s in editor.candidates(seen)]
+    out = []
+    for w, s in editor.candidates(seen[1:4], only=1):
+        if len(w) == 3:
+            c = seen[:2] + w[1] + seen[3:]
+            forms = [c[i - 1 : i + 2] for i in (1, 2, 3) if i == 2 or _CJK.match(c[i])]
+            out.append({"fixed": w[1], "score": s, "forms": sorted(set(forms))})
+    return out
+
+
 _PARTS = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("seen", pa.string()), ("other", pa.string())]))
 
 
@@ -386,7 +400,7 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
     found = cut_lineage(given.mapInArrow(work, schema + "__parts array<struct<line_no:int,kind:string,seen:string,other:string>>").select(*keep, F.inline("__parts")))
 
     # the distinct forms that could be wrong, and how often they are seen
-    forms = found.where(F.col("kind").isin("word", "cjk", "hyphen")).select(F.when(F.col("kind") == "cjk", "cjk").otherwise("word").alias("kind"), "seen", F.lower("seen").alias("form"))
+    forms = found.where(F.col("kind").isin("word", "cjk", "hyphen")).select(F.when(F.col("kind") == "cjk", "cjk").otherwise("word").alias("kind"), "seen", F.when(F.col("kind") == "cjk", F.substring("seen", 2, 3)).otherwise(F.lower("seen")).alias("form"))
     seen = cut_lineage(forms.groupBy("kind", "seen", "form").agg(F.count(F.lit(1)).alias("m")).join(known.select("form", "kind", F.col("n").alias("n_known")), ["form", "kind"], "left").where(F.coalesce("n_known", F.lit(0)) == 0))
     words = [r["seen"] for r in seen.where(F.col("kind") == "word").orderBy(F.xxhash64("seen")).limit(TRAIN_UNKNOWN).collect()]
     table = {r["form"]: r["n"] for r in known.where((F.col("kind") == "word") & (F.col("n") >= 2)).orderBy(F.desc("n"), "form").limit(TRAIN_KNOWN).collect()}
@@ -399,18 +413,23 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = editor.value
-        kind = pa.list_(pa.struct([("fixed", pa.string()), ("score", pa.float64())]))
+        kind = pa.list_(pa.struct([("fixed", pa.string()), ("score", pa.float64()), ("forms", pa.list_(pa.string()))]))
         for batch in batches:
-            rows = [[{"fixed": w, "score": s} for w, s in own.candidates(x, only=1 if k == "cjk" else None)] for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [_corrections(own, k, x) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "c"])
 
-    tried = seen.select("kind", "seen", "m").mapInArrow(edit, "kind string, seen string, m bigint, c array<struct<fixed:string,score:double>>").select("kind", "seen", "m", F.inline("c"))
+    tried = seen.select("kind", "seen", "m").mapInArrow(edit, "kind string, seen string, m bigint, c array<struct<fixed:string,score:double,forms:array<string>>>").select("kind", "seen", "m", F.inline("c"))
+    # a candidate counts if all forms that it makes are known
+    ids = ["kind", "seen", "m", "fixed", "score"]
     fixes = (
-        tried.withColumn("form", F.lower("fixed"))
+        tried.withColumn("need", F.size("forms"))
+        .withColumn("form", F.explode("forms"))
         .join(known, ["form", "kind"])
-        .where((F.col("n") >= 2) & (F.col("n") >= F.col("m")))
+        .groupBy(*ids, "need")
+        .agg(F.count(F.lit(1)).alias("there"), F.min("n").alias("n"))
+        .where((F.col("there") == F.col("need")) & (F.col("n") >= 2) & ((F.col("kind") == "cjk") | (F.col("n") >= F.col("m"))))
         .groupBy("kind", "seen")
-        .agg(F.max_by("fixed", F.struct("score", "n", "form")).alias("fixed"))
+        .agg(F.max_by("fixed", F.struct("score", "n", "fixed")).alias("fixed"))
     )
     # a joined word: known as such, known with its hyphen, or set right
     joined = found.where(F.col("kind") == "hyphen").select("seen", "other").distinct()
@@ -423,7 +442,7 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
     out = ["line_no", F.col("kind"), "seen"]
     lines = found.where(F.col("kind").isin("header", "page_no")).select(*keep, *out, F.lit("").alias("repaired"))
     hyphens = found.where(F.col("kind") == "hyphen").join(right, ["kind", "seen", "other"]).select(*keep, *out, "repaired")
-    chars = found.where(F.col("kind").isin("word", "cjk")).join(fixes, ["kind", "seen"]).select(*keep, "line_no", F.lit("char").alias("kind"), F.when(F.col("kind") == "cjk", F.substring("seen", 2, 1)).otherwise(F.col("seen")).alias("seen"), F.when(F.col("kind") == "cjk", F.substring("fixed", 2, 1)).otherwise(F.col("fixed")).alias("repaired"))
+    chars = found.where(F.col("kind").isin("word", "cjk")).join(fixes, ["kind", "seen"]).select(*keep, "line_no", F.lit("char").alias("kind"), F.when(F.col("kind") == "cjk", F.substring("seen", 3, 1)).otherwise(F.col("seen")).alias("seen"), F.col("fixed").alias("repaired"))
     return lines.unionByName(hyphens).unionByName(chars).withColumnRenamed("kind", "defect")
 
 
