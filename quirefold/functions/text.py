@@ -67,9 +67,10 @@ def bigrams(normal) -> Column:
     """The set of neighbouring pairs of an already normalised text."""
     c = F.col(normal) if isinstance(normal, str) else normal
     letters = F.split(c, "")
-    n = F.char_length(c)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.element_at(letters, i), F.element_at(letters, F.least(i + 1, n))))
-    return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    # zipped with itself one further; reaching into the array by index inside
+    # a lambda would split the text anew for every element
+    pairs = F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.char_length(c), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
 
 
 def coverage(a, b) -> Column:
@@ -215,7 +216,7 @@ def visual_terms(c, count: int, width: int = 14) -> Column:
     words; the last is repeated if there are fewer."""
     c = F.col(c) if isinstance(c, str) else c
     marks = "[，。！？；：、]"
-    terms = F.array_distinct(F.transform(F.filter(F.transform(F.split(c, marks), lambda x: F.trim(F.regexp_replace(x, LEAD_WORDS, ""))), lambda x: F.char_length(x) >= 2), lambda x: F.substring(x, 1, width)))
+    terms = F.array_distinct(F.transform(F.filter(F.transform(F.split(c, marks), lambda x: F.regexp_replace(F.regexp_replace(x, LEAD_WORDS, ""), "(?U)^\\s+|\\s+$", "")), lambda x: F.char_length(x) >= 2), lambda x: F.substring(x, 1, width)))
     spare = F.substring(F.regexp_replace(c, marks, ""), 1, width)
     filled = F.when(F.size(terms) == 0, F.array_repeat(spare, count)).otherwise(F.concat(terms, F.array_repeat(F.element_at(terms, -1), count)))
     return F.slice(filled, 1, count)
