@@ -22,7 +22,7 @@ HEDGES = "(作者认为|可能|一定程度|在.{1,40}(?:范围|条件|情境|
 UNIVERSAL = "(所有|全部|任何|一切|各国|全世界|普遍适用|不限(?:国家|时期|群体|地区))"
 BOUNDARY = "(其他|非|之外|未|没有|不包括|不适用|条件不明|不同)"
 FRAGMENT_START = "^(?:而|但|可能发生的|出特点是|该数值|问题是|所以|因此|从而|其(?:中|后)?)[，,\\s]"
-FRAGMENT_END = "[，,、；;：:]$"
+FRAGMENT_END = "[，,、；;：:]\\z"
 GRADES = ("unsupported", "weak", "partial", "strong")
 GRADE_AT = (0.07, 0.16, 0.28)
 CHAPTER_HEADING = "(?i)^(?:chapter\\s+(?:\\d+|[ivxlcdm]+)\\b|第[一二三四五六七八九十百千万零〇0-9]+章)"

@@ -18,6 +18,11 @@ def plain_key(c):
     return F.nullif(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
 
 
+def utc_month(at):
+    """YYYY-MM of a time in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM")
+
+
 def parent_keys(df: DataFrame, name: str, key: str, scope: str = "book_id", since: str = "ingested_at", until: str = "deleted_at") -> DataFrame:
     """Tagged keys of one referred table: target, scope, key, since, until."""
     return df.select(
@@ -115,6 +120,6 @@ def orphan_report(orphans: DataFrame) -> DataFrame:
     """Counts per referring table, UTC month and reason: orphans,
     orphan_targets (distinct targets). The count of distinct targets is made
     in two steps, so a hot month does not gather its rows in one task."""
-    by = [F.col("ref_table"), F.date_format("at", "yyyy-MM").alias("period"), F.col("reason")]
+    by = [F.col("ref_table"), utc_month(F.col("at")).alias("period"), F.col("reason")]
     per_key = orphans.groupBy(*by, "scope", "key").agg(F.count(F.lit(1)).alias("n"))
     return per_key.groupBy("ref_table", "period", "reason").agg(F.sum("n").alias("orphans"), F.count(F.lit(1)).alias("orphan_targets"))

@@ -25,7 +25,8 @@ def gaps(df: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
     """Adds ``gap``: what lies between a row's start and the end of the row
     before, at least 0; null for the first."""
     w = Window.partitionBy(*group).orderBy(start, end)
-    return df.withColumn("gap", F.greatest(F.lit(0), F.col(start) - F.lag(end).over(w)))
+    before = F.lag(end).over(w)
+    return df.withColumn("gap", F.when(before.isNotNull(), F.greatest(F.lit(0), F.col(start) - before)))
 
 
 def upper_median(values: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirefold.plans import data_care
+from quirefold.plans import data_care, relations, texts, timelines
 
-_MODULES = (data_care,)
+_MODULES = (data_care, texts, relations, timelines)
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.operators.nested import label_nodes, with_ancestor, with_own_field
-from quirefold.operators.orphans import child_keys, find_orphans, orphan_report, parent_keys
+from quirefold.operators.orphans import child_keys, find_orphans, orphan_report, parent_keys, utc_month
 from quirefold.session import spread, table
 
 _RECORD = ("record_table", "record_id")
@@ -62,7 +62,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """The orphan references of TESTDATA.md, problem 6."""
     return (
         p6_orphans(spark, sf)
-        .select("ref_table", F.col("owner").alias("owner_key"), F.col("key").alias("target_id"), F.date_format("at", "yyyy-MM").alias("period"), "reason")
+        .select("ref_table", F.col("owner").alias("owner_key"), F.col("key").alias("target_id"), utc_month(F.col("at")).alias("period"), "reason")
         .dropDuplicates()
     )
 
