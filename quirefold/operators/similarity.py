@@ -41,10 +41,10 @@ def near_pairs(df: DataFrame, on: list[str], key: str, least: float = 0.8) -> Da
     are checked in full.
     """
     grams = df.select(*on, key, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    counts = grams.groupBy(*on, "gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(counts, [*on, "gram"]).groupBy(*on, key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    counts = grams.groupBy(*on, "gram").agg(F.count(F.lit(1)).alias("__df"))
+    ranked = grams.join(counts, [*on, "gram"]).groupBy(*on, key, "n").agg(F.array_sort(F.collect_list(F.struct("__df", "gram"))).alias("__g"))
     shortest = F.ceil(F.col("n") * least / (2 - least) - 1e-9)
-    rows = ranked.withColumn("grams", F.transform("g", lambda x: x["gram"])).withColumn("prefix", F.slice("grams", 1, (F.col("n") - shortest + 1).cast("int"))).drop("g")
+    rows = ranked.withColumn("grams", F.transform("__g", lambda x: x["gram"])).withColumn("prefix", F.slice("grams", 1, (F.col("n") - shortest + 1).cast("int"))).drop("__g")
     a = rows.select(*on, F.col(key).alias("key_a"), F.col("n").alias("n_a"), F.explode("prefix").alias("gram"))
     b = rows.select(*on, F.col(key).alias("key_b"), F.col("n").alias("n_b"), F.explode("prefix").alias("gram"))
     fits = (F.col("n_b") <= F.col("n_a") * (2 - least) / least + 1e-9) & (F.col("n_a") <= F.col("n_b") * (2 - least) / least + 1e-9)
