@@ -26,7 +26,7 @@ from quirefold.llm.lookalike import mapping
 #: that counts as matching, and of the longest gap between two blocks (one
 #: changed word or term, or an inserted mark); for alphabets, and for scripts
 #: whose characters are syllables or words.
-SIZES = {False: (12, 8, 7, 40), True: (6, 4, 3, 14)}
+SIZES = {False: (12, 8, 12, 40), True: (6, 4, 5, 14)}
 #: Share of a passage's letters and digits that has to be in one stretch.
 LEAST = 0.5
 #: Share of a stretch that changed words and marks may take.
