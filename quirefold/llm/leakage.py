@@ -16,9 +16,11 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quirefold.llm.lookalike import mapping
 
@@ -31,6 +33,11 @@ SIZES = {False: (12, 8, 12, 40), True: (6, 4, 5, 14)}
 LEAST = 0.5
 #: Share of a stretch that changed words and marks may take.
 MOST_CHANGED = 0.38
+#: Share of the windows of a least stretch that must be hit for it to be
+#: checked; a changed word spoils two or three of them.
+LEAST_HIT = 0.35
+#: Adjusted positions this far apart can belong to one stretch.
+NEAR = 128
 _DROP = re.compile(r"[\W_]+")
 _WIDE = re.compile(r"[ᄀ-ᇿ぀-ヿ㐀-鿿가-힣\uf900-\ufaff]")
 
@@ -120,12 +127,6 @@ def stretch(passage: str, text: str, wide: bool) -> int:
     return best
 
 
-def _stream(form: str, names: list[str], automaton) -> Iterator[tuple[int, int]]:
-    """(begin, number of the term) of all terms of the automaton in a text."""
-    for end, number in automaton.iter(form):
-        yield end - len(names[number]) + 1, number
-
-
 def _automaton(names: list[str]):
     import ahocorasick
 
@@ -154,21 +155,62 @@ def term_counts(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def postings(docs: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
-    """The positional index over the given terms: term_no, key, pos."""
-    shared = docs.sparkSession.sparkContext.broadcast(names)
-    posting = pa.list_(pa.struct([("term_no", pa.int32()), ("pos", pa.int32())]))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        automaton = _automaton(own)
-        for batch in batches:
-            rows = [[{"term_no": number, "pos": at} for at, number in _stream(compared(t), own, automaton)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, posting)], names=["key", "found"])
-
-    given = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), text)
-    kind = given.schema["key"].dataType.simpleString()
-    return given.mapInArrow(work, f"key {kind}, found array<struct<term_no:int,pos:int>>").where(F.size("found") > 0).select("key", F.inline("found"))
+class Places:
+    """Where the anchor terms stand in the passages, by number of the term."""
+
+    def __init__(self, forms: list[str], counts: dict[str, int]):
+        anchors = sorted((t, q, off) for q, f in enumerate(forms) for off, t in rarest(f, counts))
+        self.names = sorted({t for t, _, _ in anchors})
+        number = {t: i for i, t in enumerate(self.names)}
+        of = np.array([number[t] for t, _, _ in anchors], dtype=np.int64)
+        self.start = np.searchsorted(of, np.arange(len(self.names) + 1))
+        self.passage = np.array([q for _, q, _ in anchors], dtype=np.int64)
+        self.offset = np.array([off for _, _, off in anchors], dtype=np.int64)
+        self.windows = np.bincount(self.passage, minlength=len(forms))
+
+
+def postings(forms: list[str], places: Places, automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The positional index of a shard over the anchor terms: term, text and
+    position of each posting, ordered by term, text and position."""
+    terms_, texts, at = [], [], []
+    for row, form in enumerate(forms):
+        for end, number in automaton.iter(form):
+            terms_.append(number)
+            texts.append(row)
+            at.append(end - len(places.names[number]) + 1)
+    term, text, pos = (np.array(x, dtype=np.int64) for x in (terms_, texts, at))
+    order = np.lexsort((pos, text, term))
+    return term[order], text[order], pos[order]
+
+
+def intersect(index: tuple[np.ndarray, np.ndarray, np.ndarray], places: Places, need: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, passage, least and largest adjusted position) of the bins of
+    adjusted positions that at least ``need`` of the passage's windows hit.
+
+    The lists of all anchors are brought together after subtracting the terms'
+    offsets. Each adjusted position falls into two overlapping bins, so that
+    hits next to each other meet in one.
+    """
+    term, text, pos = index
+    if not len(term):
+        return
+    times = places.start[term + 1] - places.start[term]
+    first = np.repeat(places.start[term] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+    row, q, off = np.repeat(text, times), places.passage[first], places.offset[first]
+    diagonal = np.repeat(pos, times) - off
+    bins = np.concatenate((np.floor_divide(diagonal, NEAR) * 2, np.floor_divide(diagonal + NEAR // 2, NEAR) * 2 - 1))
+    row, q, off, diagonal = (np.concatenate((x, x)) for x in (row, q, off, diagonal))
+    order = np.lexsort((off, bins, q, row))
+    row, q, bins, off, diagonal = (x[order] for x in (row, q, bins, off, diagonal))
+    fresh = np.ones(len(row), dtype=bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (q[1:] != q[:-1]) | (bins[1:] != bins[:-1])
+    begin = np.flatnonzero(fresh)
+    new_offset = fresh.copy()
+    new_offset[1:] |= off[1:] != off[:-1]
+    hit = np.add.reduceat(new_offset.astype(np.int64), begin)
+    low, high = np.minimum.reduceat(diagonal, begin), np.maximum.reduceat(diagonal, begin)
+    for k in np.flatnonzero(hit >= need[q[begin]]):
+        yield int(row[begin[k]]), int(q[begin[k]]), int(low[k]), int(high[k])
 
 
 def find_leaks(docs: DataFrame, key: str, text: str, tests: DataFrame, item: str, passage: str, least: float = LEAST) -> DataFrame:
@@ -181,60 +223,39 @@ def find_leaks(docs: DataFrame, key: str, text: str, tests: DataFrame, item: str
     texts are in no pair. A key that repeats with several texts is judged for
     each and named once. Extra columns are not looked at.
 
-    Plan: one pass counts the test terms over all texts, one writes the
-    postings of the rarest ones; both send only terms that occur. Postings are
-    joined with the terms' places in the passages and grouped by document,
-    passage and adjusted offset; of what is left, the texts are read by a join
-    on the key, and checked.
+    Plan: one pass counts the test terms over all texts. The next indexes the
+    texts: the index is cut by documents, each Arrow batch is a shard that
+    stores its postings, intersects them for all passages, and checks what is
+    left in its own texts. So postings and texts are not shuffled; only the
+    pairs found are, to make them distinct.
     """
     spark = docs.sparkSession
     rows = tests.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).alias("item"), F.col(passage).alias("passage")).distinct().collect()
-    forms = [(r["item"], f) for r in rows if (f := compared(r["passage"]))]
+    tested = [(r["item"], f) for r in rows if (f := compared(r["passage"]))]
     kind = tests.schema[item].dataType.simpleString()
     key_kind = docs.schema[key].dataType.simpleString()
     result = f"key {key_kind}, item {kind}, share double"
-    if not forms:
+    if not tested:
         return spark.createDataFrame([], result)
-    names = sorted({t for _, f in forms for t in terms(f)})
+    names = sorted({t for _, f in tested for t in terms(f)})
     counts = {r["term"]: r["n"] for r in term_counts(docs, text, names).collect()}  # bounded by the test terms
-    anchors = [(number, off, t) for number, (_, f) in enumerate(forms) for off, t in rarest(f, counts)]
-    used = sorted({t for _, _, t in anchors})
-    number_of = {t: i for i, t in enumerate(used)}
-    places = spark.createDataFrame([(number_of[t], q, off) for q, off, t in anchors], "term_no int, q int, off int")
-    windows = Counter(q for q, _, _ in anchors)
-    need = spark.createDataFrame([(q, max(1, int(windows[q] * least * 0.35))) for q in range(len(forms))], "q int, need int")
-    far = 128
-    shifted = postings(docs, key, text, used).join(F.broadcast(places), "term_no").withColumn("diagonal", F.col("pos") - F.col("off"))
-    # each diagonal falls into two overlapping bins, so that near ones meet
-    binned = shifted.withColumn("bin", F.explode(F.array(F.floor(F.col("diagonal") / far) * 2, F.floor((F.col("diagonal") + far / 2) / far) * 2 - 1)))
-    met = (
-        binned.groupBy("key", "q", "bin")
-        .agg(F.count_distinct("off").alias("n"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-        .join(F.broadcast(need), "q")
-        .where(F.col("n") >= F.col("need"))
-        .groupBy("key")
-        .agg(F.collect_set(F.struct("q", "low", "high")).alias("met"))
-    )
-    shared = spark.sparkContext.broadcast([(i, f, is_wide(f)) for i, f in forms])
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+    shared = spark.sparkContext.broadcast(([(i, f, is_wide(f)) for i, f in tested], Places([f for _, f in tested], counts)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, places = shared.value
+        automaton = _automaton(places.names)
+        need = np.maximum(1, (places.windows * least * LEAST_HIT).astype(np.int64))
         for batch in batches:
-            keys, items, shares = [], [], []
-            for k, t, places_met in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                form = compared(t)
-                best: dict[int, float] = {}
-                for x in places_met:
-                    _, f, wide = own[x["q"]]
-                    share = stretch(f, form[max(0, x["low"] - far) : max(0, x["high"]) + len(f) + far], wide) / len(f)
-                    best[x["q"]] = max(best.get(x["q"], 0.0), share)
-                for q, share in best.items():
-                    if share >= least:
-                        keys.append(k)
-                        items.append(own[q][0])
-                        shares.append(share)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(items), pa.array(shares, pa.float64())], names=["key", "item", "share"])
-
-    checked = texts.join(met, "key").select("key", "text", "met").mapInArrow(check, result)
-    return checked.groupBy("key", "item").agg(F.max("share").alias("share"))
+            forms = [compared(t) for t in batch.column(1).to_pylist()]
+            best: dict[tuple[int, int], float] = {}
+            for row, q, low, high in intersect(postings(forms, places, automaton), places, need):
+                _, f, wide = own[q]
+                if best.get((row, q), 0.0) < 1.0:
+                    share = stretch(f, forms[row][max(0, low - NEAR) : max(0, high) + len(f) + NEAR], wide) / len(f)
+                    best[row, q] = max(best.get((row, q), 0.0), share)
+            found = [(row, q, s) for (row, q), s in best.items() if s >= least]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _, _ in found], pa.int64())), pa.array([own[q][0] for _, q, _ in found]).cast(item_type), pa.array([s for _, _, s in found], pa.float64())], names=["key", "item", "share"])
+
+    item_type = to_arrow_type(tests.schema[item].dataType)
+    given = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return given.mapInArrow(search, result).groupBy("key", "item").agg(F.max("share").alias("share"))
