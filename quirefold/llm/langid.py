@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.segmentation import sentences
@@ -188,10 +188,10 @@ def labelled_sample(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROW
 
     given = df.where(F.col(text).isNotNull() & (F.char_length(F.trim(text)) >= 40)).select(text, F.col(label).cast("string").alias("label"))
     picked = given.mapInArrow(pick, "lang string, h bigint, t string").distinct()
-    out: dict[str, list[str]] = {}
-    for lang in LANGUAGES:
-        # at most `rows` rows come back per language
-        out[lang] = [r["t"] for r in picked.where(F.col("lang") == lang).orderBy("h", "t").limit(rows).collect()]
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    out: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
+    for r in picked.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("lang", "nth").collect():  # at most `rows` per language
+        out[r["lang"]].append(r["t"])
     return out
 
 
