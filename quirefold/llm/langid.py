@@ -33,6 +33,8 @@ SAMPLE_ROWS = 240
 SAMPLE_CHARS = 20_000
 #: Letters under which a text tells too little: of alphabets, of CJK scripts.
 SHORT = (12, 4)
+#: Confidence under which a sentence tells no language: codes, noise, ties.
+UNSURE = 0.15
 
 _SPACE = re.compile(r"[\W\d_]+")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿가-힣\uf900-\ufaff]")
@@ -197,8 +199,9 @@ def labelled_sample(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROW
 
 def segments(text: str, models: dict[str, SuffixAutomaton]) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of the maximal runs of whole
-    sentences in one language. Sentences that are too short go with the one
-    before, else with the one after; none are left if all are too short."""
+    sentences in one language. Sentences that are too short, or that no
+    language fits clearly better than the others, go with the one before, else
+    with the one after; no segment is left if all are such."""
     parts: list[list] = []
     last = None
     for a, b in sentences(text):
@@ -212,7 +215,7 @@ def segments(text: str, models: dict[str, SuffixAutomaton]) -> list[tuple[int, i
         else:
             lang, sure = score(plain, models, last)
             last = lang
-            parts.append([a, b, lang, sure, len(plain)])
+            parts.append([a, b, lang if sure >= UNSURE or len(models) == 1 else None, sure, len(plain)])
     known = [p[2] for p in parts if p[2]]
     if not known:
         return []

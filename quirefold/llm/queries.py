@@ -19,9 +19,6 @@ from quirefold.session import cut_lineage, spread, table
 #: The public vocabulary whose tokens sizes are counted in.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
-#: Confidence under which a short block is taken to be in its book's language.
-UNSURE = 0.1
-
 _IDS = ["source_table", "owner_id", "record_id"]
 
 
@@ -93,7 +90,7 @@ def _languages(spark: SparkSession, sf: str) -> DataFrame:
     sizes = found.select("book_id", F.inline("segments")).groupBy("book_id", "lang").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("n"))
     books = sizes.groupBy("book_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("book_lang"))
     one = F.array(F.struct(F.lit(0).alias("start_pos"), F.lit(None).cast("int").alias("end_pos"), F.col("book_lang").alias("lang"), F.lit(0.0).cast("double").alias("confidence")))
-    unsure = (F.size("segments") == 0) | ((F.size("segments") == 1) & (F.get("segments", 0)["confidence"] < UNSURE) & (F.get("segments", 0)["end_pos"] < 60))
+    unsure = F.size("segments") == 0
     rows = found.join(books, "book_id", "left")
     return rows.withColumn("segments", F.when(unsure & F.col("book_lang").isNotNull(), one).otherwise(F.col("segments")))
 
