@@ -47,6 +47,11 @@ def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def half_width(c) -> Column:
     """Full-width ASCII and the ideographic space in their usual width: what
     NFKC does to running text, without leaving the JVM."""
@@ -255,11 +260,14 @@ def fold_pieces(c, breaks_at, most: int, raw_most: int | None = None, least: int
 def caption_segments(c, least: int = 8, most: int = 16, raw_most: int = 20) -> Column:
     """Caption pieces; a short rest joins the last piece if that stays within
     ``raw_most`` characters."""
-    f = fold_pieces(F.trim(F.col(c) if isinstance(c, str) else c), "[，。！？；：、]", most, raw_most, least)
-    last = F.element_at(f["done"], -1)
-    joins = (F.size(f["done"]) > 0) & (f["n"] < least) & (F.char_length(F.concat(last, f["rest"])) <= raw_most)
-    head = F.slice(f["done"], 1, F.greatest(F.size(f["done"]) - 1, F.lit(0)))
-    return F.when(f["rest"] == "", f["done"]).when(joins, F.concat(head, F.array(F.concat(last, f["rest"])))).otherwise(F.concat(f["done"], F.array(f["rest"])))
+
+    def joined(f: Column) -> Column:
+        last = F.element_at(f["done"], -1)
+        joins = (F.size(f["done"]) > 0) & (f["n"] < least) & (F.char_length(F.concat(last, f["rest"])) <= raw_most)
+        head = F.slice(f["done"], 1, F.greatest(F.size(f["done"]) - 1, F.lit(0)))
+        return F.when(f["rest"] == "", f["done"]).when(joins, F.concat(head, F.array(F.concat(last, f["rest"])))).otherwise(F.concat(f["done"], F.array(f["rest"])))
+
+    return let(fold_pieces(F.trim(F.col(c) if isinstance(c, str) else c), "[，。！？；：、]", most, raw_most, least), joined)
 
 
 def two_lines(c, width: int = 10) -> Column:

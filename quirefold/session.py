@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,18 +36,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it read back.
+    """Write ``df`` as a table to the shared checkpoint folder and return it
+    read back.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (tests, a single machine) a temporary folder is taken. The copy
-    lies in the shared file system, so it survives the loss of executors.
+    unset (tests, a single machine) a temporary folder is taken. The table
+    lies in the shared file system, so it survives the loss of executors; and
+    unlike ``checkpoint()``, which counts the rows first and then computes
+    them again to save them, it is computed once.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quirefold-checkpoint-"))
-    return df.checkpoint(eager=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
+    path = f"{shared.rstrip('/')}/quirefold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The context's checkpoint folder, or a temporary one of this machine."""
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return set_dir.get()
+    folder = "file://" + tempfile.mkdtemp(prefix="quirefold-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def spread(df: DataFrame, rows_per_task: int = 20_000, least: int | None = None) -> DataFrame:
