@@ -293,6 +293,48 @@ def spoken(c) -> Column:
     return F.trim(F.regexp_replace(out, "(?<=[\\u3000-\\u9fff\\uff00-\\uffef])\\s+(?=[\\u3000-\\u9fff\\uff00-\\uffef])", ""))
 
 
+def short_hook(c, width: int = 10, plain: int = 8) -> Column:
+    """A text in two: behind the last mark among its first ``width``
+    characters, else after ``plain``."""
+    c = F.col(c) if isinstance(c, str) else c
+    marks = F.regexp_extract(F.substring(c, 1, width), "(?s)^(.*[，。！？；：])", 1)
+    at = F.when(F.char_length(marks) > 0, F.char_length(marks)).otherwise(F.least(F.lit(plain), F.char_length(c)))
+    return F.array(F.substring(c, F.lit(1), at), F.substring(c, at + 1, F.char_length(c)))
+
+
+def spoken_list(c) -> Column:
+    """A marked list as sentences with connectives; other texts as they are."""
+    c = F.col(c) if isinstance(c, str) else c
+    lines = F.filter(F.transform(F.split(c, "\n+"), lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")), lambda x: x != "")
+    mark = "^(?:\\d+[.、)]|[一二三四五六七八九十]+[、.]|[-•])\\s*(.+)$"
+
+    def sentence(x, i):
+        body = F.trim(F.regexp_extract(x, mark, 1))
+        has = body.rlike("^(?:先|接着|然后|最后|此外|另外|因此|所以|但|然而)")
+        word = F.when(i == F.size(lines) - 1, "最后，").otherwise("接着，")
+        told = F.when((i > 0) & ~has, F.concat(word, body)).otherwise(body)
+        return F.when(told.rlike("[。！？；]$"), told).otherwise(F.concat(told, F.lit("。")))
+
+    return F.when((F.size(lines) >= 2) & F.forall(lines, lambda x: x.rlike(mark)), F.array_join(F.transform(lines, sentence), "")).otherwise(c)
+
+
+def emphasis_tokens(c, words) -> Column:
+    """A text cut at the first places of emphasised words: array of (text,
+    strong). A word that begins inside an earlier one is skipped."""
+    c = F.col(c) if isinstance(c, str) else c
+    places = F.array_sort(F.filter(F.transform(words, lambda x: F.struct(F.instr(c, x).alias("at"), x.alias("word"))), lambda p: p["at"] > 0))
+    kind = "array<struct<text:string,strong:boolean>>"
+
+    def step(acc, p):
+        plain = F.when(p["at"] > acc["next"], F.array(F.struct(F.substring(c, acc["next"], p["at"] - acc["next"]).alias("text"), F.lit(False).alias("strong")))).otherwise(F.array().cast(kind))
+        own = F.array(F.struct(p["word"].alias("text"), F.lit(True).alias("strong")))
+        skip = p["at"] < acc["next"]
+        return F.struct(F.when(skip, acc["next"]).otherwise(p["at"] + F.char_length(p["word"])).cast("int").alias("next"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], plain, own)).alias("out"))
+
+    rest = lambda a: F.when(a["next"] <= F.char_length(c), F.concat(a["out"], F.array(F.struct(F.substring(c, a["next"], F.char_length(c)).alias("text"), F.lit(False).alias("strong"))))).otherwise(a["out"])
+    return F.aggregate(places, F.struct(F.lit(1).alias("next"), F.array().cast(kind).alias("out")), step, rest)
+
+
 def slug(c) -> Column:
     """A safe id from a name: lower case, dashes for all else."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.col(c) if isinstance(c, str) else c), "[^a-z0-9]+", "-"), "^-+|-+$", "")

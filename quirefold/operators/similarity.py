@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import bigrams, normalize
+from quirefold.session import cut_lineage
 
 
 def with_features(df: DataFrame, text: str, into: str = "grams") -> DataFrame:
@@ -53,3 +54,35 @@ def near_pairs(df: DataFrame, on: list[str], key: str, least: float = 0.8) -> Da
     both = pairs.join(full_a, [*on, "key_a"]).join(full_b, [*on, "key_b"])
     value = 2 * F.size(F.array_intersect("ga", "gb")) / (F.size("ga") + F.size("gb"))
     return both.withColumn("dice", value).where(F.col("dice") >= least - 1e-12).select(*on, "key_a", "key_b", "dice")
+
+
+def greedy_novelty(nodes: DataFrame, pairs: DataFrame, key: str, order: str) -> DataFrame:
+    """Of ``nodes`` those that are not alike to any kept one before them in
+    ``order`` (distinct per key): the result of going through them one by one.
+
+    ``pairs``: key_a, key_b of alike nodes. Done in rounds instead of one by
+    one: an undecided node is kept when all its earlier partners are dropped,
+    and dropped when one of them is kept. Each round settles at least the
+    first undecided node of every connected part; only nodes with partners
+    take part, and each round's state is written.
+    """
+    at = nodes.select(F.col(key).alias("k"), F.col(order).alias("o")).distinct()
+    a = at.select(F.col("k").alias("key_a"), F.col("o").alias("oa"))
+    b = at.select(F.col("k").alias("key_b"), F.col("o").alias("ob"))
+    both = pairs.select("key_a", "key_b").join(a, "key_a").join(b, "key_b")
+    first = F.when(F.struct("oa", "key_a") < F.struct("ob", "key_b"), F.struct(F.col("key_a").alias("early"), F.col("key_b").alias("late"))).otherwise(F.struct(F.col("key_b").alias("early"), F.col("key_a").alias("late")))
+    edges = cut_lineage(both.select(first.alias("e")).select("e.early", "e.late").distinct())
+    kept = dropped = None
+    open_ = edges
+    while not open_.isEmpty():
+        late = open_.select(F.col("late").alias("k")).distinct()
+        now = open_.select(F.col("early").alias("k")).distinct().join(late, "k", "left_anti")  # no earlier partner is open
+        now = cut_lineage(now)
+        gone = cut_lineage(open_.join(now.select(F.col("k").alias("early")), "early").select(F.col("late").alias("k")).distinct())
+        kept = now if kept is None else kept.unionByName(now)
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        settled = now.unionByName(gone)
+        open_ = cut_lineage(open_.join(settled.select(F.col("k").alias("early")), "early", "left_anti").join(settled.select(F.col("k").alias("late")), "late", "left_anti"))
+    if dropped is None:
+        return nodes
+    return nodes.join(dropped.select(F.col("k").alias(key)).distinct(), key, "left_anti")

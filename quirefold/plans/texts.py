@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
+from quirefold.operators.layout import lines_from_items
 from quirefold.operators.ranking import best_per_key
-from quirefold.operators.similarity import best_match, near_pairs, with_features
+from quirefold.operators.similarity import best_match, greedy_novelty, near_pairs, with_features
 from quirefold.session import table
 
 
@@ -168,6 +169,37 @@ def best_statement_per_key(spark, sf):
     return best_per_key(c, ["norm"], [F.col("claim_id")]).select("norm", "claim_id")
 
 
+def short_hooks(spark, sf):
+    s = _scenes(spark, sf).select("job_id", "scene_id", "voice_text", T.short_hook("voice_text").alias("h"))
+    return s.select("job_id", "scene_id", F.element_at("h", 1).alias("head"), F.element_at("h", 2).alias("rest")).distinct()
+
+
+def emphasis_tokens(spark, sf):
+    """Scene texts cut at their emphasised words."""
+    s = table(spark, sf, "scenes").select("job_id", "scene_id", "voice_text", "emphasis").where("voice_text is not null and emphasis is not null").distinct()
+    words = F.filter("emphasis", lambda x: x.isNotNull() & (x != ""))
+    return s.select("job_id", "scene_id", F.posexplode(T.emphasis_tokens("voice_text", words)).alias("pos", "t")).select("job_id", "scene_id", "pos", "t.text", "t.strong").distinct()
+
+
+def spoken_lists(spark, sf):
+    return _blocks(spark, sf).where("block_type = 'list'").select("book_id", "block_id", T.spoken_list("original_text").alias("spoken")).distinct()
+
+
+def greedy_novelty_filter(spark, sf):
+    """Statements of a book without those much like one kept before."""
+    c = _claims(spark, sf).withColumn("norm", T.normalize("statement")).where("char_length(norm) >= 2").groupBy("book_id", "norm").agg(F.min("claim_id").alias("first_id"))
+    nodes = c.withColumn("key", F.concat_ws("/", "book_id", "norm"))
+    pairs = near_pairs(nodes.withColumn("grams", T.bigrams("norm")), ["book_id"], "key", 0.8)
+    return greedy_novelty(nodes, pairs, "key", "first_id").select("book_id", "norm", "first_id")
+
+
+def page_lines(spark, sf):
+    """Blocks of a page whose tops lie within two points as one line."""
+    b = table(spark, sf, "blocks").where("bbox is not null").groupBy("book_id", "page", "block_id").agg(F.min("bbox").alias("q"))
+    items = b.select("book_id", "page", F.col("block_id").alias("text"), F.col("q.x").alias("x"), F.col("q.y").alias("y"), F.col("q.w").alias("width"), F.col("q.h").alias("height"))
+    return lines_from_items(items, ["book_id", "page"]).select("book_id", "page", "line_no", "text", F.round("x2", 6).alias("x2"))
+
+
 _C = "(select distinct book_id, claim_id, chapter_id, statement from claims where statement is not null and claim_id is not null)"
 _B = "(select distinct book_id, block_id, chapter_id, page, ord, block_type, pdf_kind, original_text, confidence from blocks where original_text is not null)"
 _S = "(select distinct job_id, scene_id, ord, purpose, voice_text from scenes where voice_text is not null)"
@@ -215,6 +247,11 @@ QUERIES = {
         slug_ids,
         repeated_statement_owner,
         best_statement_per_key,
+        short_hooks,
+        emphasis_tokens,
+        spoken_lists,
+        greedy_novelty_filter,
+        page_lines,
     )
 }
 SQL = {
@@ -271,6 +308,12 @@ select null as nothing from u where false""",
     "repeated_statement_owner": f"""select distinct claim_id, statement, chapter_id, owner from (select *, first_value(chapter_id) over (partition by n order by book_id nulls first, chapter_id nulls first, claim_id) as owner
 from (select *, {_norm("statement")} as n from {_C}) where n <> '') where owner is distinct from chapter_id""",
     "best_statement_per_key": f"select {_norm('statement')} as norm, min(claim_id) as claim_id from {_C} where {_norm('statement')} <> '' group by 1",
+    "short_hooks": rf"""with s as (select distinct job_id, scene_id, voice_text as t from {_S}), k as (select *, length(regexp_extract(substr(t, 1, 10), '^((?s).*[，。！？；：])', 1)) as m from s),
+c as (select *, case when m > 0 then m else least(8, length(t)) end as cut from k) select distinct job_id, scene_id, substr(t, 1, cut) as head, substr(t, cut + 1) as rest from c""",
+    "page_lines": """with b as (select book_id, page, block_id, min(bbox) as q from blocks where bbox is not null group by all),
+f as (select *, case when coalesce(lag(q.y) over w - q.y, 1e18) > 2 then 1 else 0 end as fresh from b window w as (partition by book_id, page order by q.y desc, q.x, block_id)),
+l as (select *, sum(fresh) over (partition by book_id, page order by q.y desc, q.x, block_id) - 1 as line_no from f)
+select book_id, page, line_no, string_agg(block_id, ' ' order by q.x, block_id) as text, round(max(q.x + q.w), 6) as x2 from l group by all""",
     "visual_terms": rf"""with s as (select distinct job_id, scene_id, voice_text as t from {_S}),
 u as (select *, list_transform(list_filter(list_transform(regexp_split_to_array(t, '[，。！？；：、]'), lambda x: regexp_replace(regexp_replace(x, '{T.LEAD_WORDS}', ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: length(x) >= 2), lambda x: substr(x, 1, 14)) as raw from s),
 v as (select *, list_transform(list_filter(list_zip(raw, range(1, len(raw) + 1)), lambda z: list_position(raw, z[1]) = z[2]), lambda z: z[1]) as d from u)

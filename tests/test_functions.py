@@ -88,3 +88,13 @@ def test_times(spark):
     assert tuple(one(spark, G.trim_window(F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(2800)))) == (0, 2800)
     assert one(spark, G.font_fit(F.lit(2), 720, 220)) == 220 and one(spark, G.font_fit(F.lit(4), 720, 220)) == 180
     assert one(spark, G.ticks_to_ms(F.lit(15_000))) == 2
+
+
+def test_hooks_lists_and_emphasis(spark):
+    assert one(spark, T.short_hook("t"), t="学得慢，不一定是记性差。") == ["学得慢，", "不一定是记性差。"]
+    assert one(spark, T.short_hook("t"), t="没有任何标点的一句长话") == ["没有任何标点的一", "句长话"]
+    assert one(spark, T.spoken_list("t"), t="1. 主动回忆\n2. 核对缺口\n3. 间隔练习") == "主动回忆。接着，核对缺口。最后，间隔练习。"
+    assert one(spark, T.spoken_list("t"), t="不是列表") == "不是列表"
+    words = F.array(F.lit("核对"), F.lit("回忆"), F.lit("忆再"))
+    got = one(spark, T.emphasis_tokens("t", words), t="先回忆再核对")
+    assert [(r["text"], r["strong"]) for r in got] == [("先", False), ("回忆", True), ("再", False), ("核对", True)]

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quirefold.operators import cache, ranking, rules, similarity, windows
+from quirefold.operators import cache, layout, ranking, rules, similarity, windows
 from quirefold.sources.documents import assemble_chunks, read_json_documents, write_json_documents
 from quirefold.streaming import events as E
 
@@ -129,3 +129,40 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert rows(spark.table("w"), "window_start", "event_type", "n") == rows(E.windowed_counts(e, "ts", ["event_type"]), "window_start", "event_type", "n")
     assert E.first_deliveries(e.union(e), "ts", ["event_id"]).count() == e.count()
+
+
+def test_greedy_novelty_equals_one_by_one(spark):
+    rng = random.Random(6)
+    edges = {(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.08}
+    order = {k: rng.randrange(15) for k in range(40)}  # with ties
+    nodes = spark.createDataFrame([(k, order[k]) for k in range(40)], "k int, o int")
+    pairs = spark.createDataFrame(sorted(edges), "key_a int, key_b int")
+    kept = []
+    for k in sorted(range(40), key=lambda k: (order[k], k)):
+        if not any((min(k, j), max(k, j)) in edges for j in kept):
+            kept.append(k)
+    assert rows(similarity.greedy_novelty(nodes, pairs, "k", "o"), "k") == [(k,) for k in sorted(kept)]
+    assert similarity.greedy_novelty(nodes, pairs.limit(0), "k", "o").count() == 40
+
+
+L = "doc_id int, idx int, page int, text string, y double, height double"
+
+
+def test_detect_chapters(spark):
+    lines = [
+        (2, "目录", 550.0, 10.0), (2, "第一章中国社会分层概述 ........ 1", 520.0, 10.0), (2, "第二章 中国社会分层结构的特征 ........ 15", 500.0, 10.0),
+        (3, "第二十四章 中国社会学界关于社会分层的研究 ........ 502", 520.0, 10.0), (4, "第二十四章是文献梳理，不是正文标题。", 400.0, 10.0),
+        (5, "第一章", 544.0, 14.0), (5, "中国社会分层概述", 526.0, 14.0), (10, "第二章 中国社会分层结构的特征", 544.0, 10.0),
+        (20, "第二十四章中国社会学界关于社会分层的研究", 544.0, 14.0),
+    ]
+    more = [(203, "第十章", 544.0, 14.0), (203, "从“倒丁字型”向“土字型”", 526.0, 14.0), (203, "社会结构的变迁", 508.0, 14.0), (203, "第九章介绍了社会分层的测量方法。", 407.0, 10.0)]
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(lines)] + [(2, i, *x) for i, x in enumerate(more)] + [(3, 0, 1, None, None, None)], L)
+    assert rows(layout.detect_chapters(df), "doc_id", "number", "title", "page") == [
+        (1, 1, "第一章 中国社会分层概述", 5), (1, 2, "第二章 中国社会分层结构的特征", 10), (1, 24, "第二十四章 中国社会学界关于社会分层的研究", 20), (2, 10, "第十章 从“倒丁字型”向“土字型” 社会结构的变迁", 203),
+    ]
+
+
+def test_lines_from_items(spark):
+    items = [(1, "b", 50.0, 100.0, 5.0, 9.0), (1, "a", 10.0, 101.0, 5.0, 9.0), (1, "c", 10.0, 80.0, 5.0, 9.0), (1, "d", None, 80.0, 5.0, 9.0), (2, None, 1.0, 1.0, None, None)]
+    df = spark.createDataFrame(items, "page int, text string, x double, y double, width double, height double")
+    assert rows(layout.lines_from_items(df, ["page"]), "page", "line_no", "text", "x2") == [(1, 0, "a b", 55.0), (1, 1, "c", 15.0), (2, 0, "", 1.0)]
