@@ -195,6 +195,7 @@ _PLAIN = {
     "cjk": (re.compile(r"[。！？]\Z"), re.compile(r"[ぁ-ヺ一-鿿0-9]")),
     **dict.fromkeys(("en", "de", "fr", "es", "ru"), (re.compile(r"[^\W\d_A-ZÀ-ÞА-Я]{8}[.!?]\Z"), re.compile(r" (?:[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]|[¿¡])"))),
 }
+_LINE_END = re.compile(r"[^\S\n]*\n")
 _LAST = regex.compile(r"[.!?。！？｡．…‥][" + _CL + r"\s]*$", regex.V1)
 _PARTED = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}”」』）》%])[^\S\n]+(?=[\p{Han}\p{Hiragana}\p{Katakana}“「『（《\p{N}])", regex.V1)
 _SPEECH = regex.compile(r"\p{Han}|\p{Hiragana}|\p{Katakana}", regex.V1)
@@ -271,7 +272,7 @@ def breaks(text: str) -> list[int]:
                 break
         if decided:
             found.append(at)
-        line = text[at:].lstrip(" \t\r　\xa0")[:1] == "\n" if decided is None else False
+        line = decided is None and _LINE_END.match(text, at)
         if decided is None and line and m.group() == "":
             loose.append(at)
         elif decided and m.group() and script != "th":
@@ -291,7 +292,7 @@ def _unmarked(text: str, found: list[int], loose: list[int]) -> list[int]:
         end = m.start() if m else len(text)
         part = text[start:end]
         inner = [p for p in found if start < p <= end and text[p - 1 : p] not in ("\n",)]
-        ended = _LAST.search(part) or any(_LAST.search(text[start:p]) for p in inner)
+        ended = any(_LAST.search(text[max(start, p - 40) : p]) for p in (end, *inner))
         if part.strip() and not ended:
             out += [p for p in loose if start < p < end]
             if _SPEECH.search(part):
