@@ -11,7 +11,7 @@ from quirefold.llm.langid import LANGUAGES, identify
 from quirefold.llm.leakage import find_leaks
 from quirefold.llm.lookalike import one_form, same_look
 from quirefold.llm.mixing import balance, token_counts
-from quirefold.llm.scanned import find_damage, paragraphs
+from quirefold.llm.scanned import find_damage, paragraphs, running
 from quirefold.llm.segmentation import split_sentences
 from quirefold.llm.splitting import split_oversized
 from quirefold.session import cut_lineage, spread, table
@@ -40,7 +40,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Scanned blocks with the titles of their chapter; all clean texts."""
+    """Scanned blocks with the headers of their chapter, by title or by place; all clean texts."""
     blocks = table(spark, sf, "blocks")
     kinds = F.col("pdf_kind").isin("scanned", "mixed") & F.col("block_type").isin("paragraph", "quote", "footnote", "list")
     pages = blocks.where(kinds).select("book_id", "block_id", "chapter_id", "page", "original_text")
@@ -48,11 +48,13 @@ def _scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         table(spark, sf, "chapters")
         .select("book_id", "chapter_id", F.explode(F.array("title", "book_title")).alias("head"))
         .where(F.col("head").isNotNull())
+        .unionByName(running(pages, "original_text", "page", ["book_id", "chapter_id"]))
         .groupBy("book_id", "chapter_id")
         .agg(F.sort_array(F.collect_set("head")).alias("heads"))
     )
     clean = blocks.where(F.col("pdf_kind") == "digital").select(F.col("original_text").alias("text")).unionByName(table(spark, sf, "scenes").select(F.col("voice_text").alias("text")))
-    return pages.join(heads, ["book_id", "chapter_id"], "left"), clean
+    # written once: finding the number of tasks below runs the plan a first time
+    return pages.join(cut_lineage(heads), ["book_id", "chapter_id"], "left"), clean
 
 
 def _damage(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,9 @@
 """Repair of text from scanned pages.
 
-Running headers and page numbers are told by their place on the page and by
-what the page says elsewhere: its number, the title of its chapter. Broken and
+Page numbers are told by the page's own number. Running headers are told by
+the title of their chapter, by the page's number in the same line, or by their
+place: the same line on other pages of the chapter, next to a page number or in
+several blocks, and not read on in small letters. Broken and
 misread words are found as words that clean text doesn't know; an averaged
 perceptron, trained here on such words and their nearest known ones, edits
 them character by character, and an edit counts if the result is known.
@@ -40,6 +42,7 @@ _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _CJK = re.compile(r"[々-〇぀-ヿ㐀-鿿\uf900-\ufaff]")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _KEY = re.compile(r"[\W\d_]+")
+_APART = re.compile(r"\s{2,}")
 
 
 def number_of(text: str) -> int | None:
@@ -54,15 +57,27 @@ def number_of(text: str) -> int | None:
     return total
 
 
+def _is_number(text: str, page: int | None) -> bool:
+    """Nothing but the page's own number, with marks around it."""
+    m = _PAGE_NO.match(text) if page is not None else None
+    return bool(m) and number_of(m.group(1)) == page
+
+
+def _bears_number(text: str, page: int | None) -> bool:
+    """The page's own number begins or ends the line, parted by two blanks or
+    more from other letters."""
+    pieces = _APART.split(text)
+    return len(pieces) > 1 and any(_is_number(x, page) and _KEY.sub("", "".join(y)) for x, y in ((pieces[0], pieces[1:]), (pieces[-1], pieces[:-1])))
+
+
 def furniture(lines: list[str], page: int | None, titles: list[str]) -> list[str | None]:
     """``header``, ``page_no`` or None for each line of a block.
 
     A page number is a line with nothing but a number, and marks around it,
-    that is the page's own. A header is a line that reads, misread characters
-    and page number aside, like the title of its chapter or book. A plain
-    number between two body lines, of which the first doesn't end a sentence,
-    is the page's number only if it stands at the block's begin or end or has
-    marks around it - or if nothing but the place speaks against it.
+    that is the page's own. A header is a line that bears the page's number
+    apart from its text, or that reads, misread characters and page number
+    aside, like one of ``titles``: those of its chapter and book, and the
+    lines that :func:`running` finds by their place.
     """
     keys = [k for t in titles or [] if t and (k := _KEY.sub("", t.lower()))]
     out: list[str | None] = []
@@ -70,9 +85,10 @@ def furniture(lines: list[str], page: int | None, titles: list[str]) -> list[str
         kind = None
         text = line.strip()
         if text:
-            m = _PAGE_NO.match(text)
-            if m and page is not None and number_of(m.group(1)) == page:
+            if _is_number(text, page):
                 kind = "page_no"
+            elif text[-1] not in "。！？!?." and _bears_number(text, page):
+                kind = "header"
             elif keys and len(text) <= 40 + max(map(len, keys)) * 2:
                 key = _KEY.sub("", text.lower())
                 if key and any(_like(key, k) for k in keys) and text[-1] not in "。！？!?.":
@@ -81,6 +97,20 @@ def furniture(lines: list[str], page: int | None, titles: list[str]) -> list[str
     return out
 
 
+def placed(lines: list[str], page: int | None) -> list[tuple[str, bool, bool, bool]]:
+    """(letters, bears the page's number, stands next to it, is read on in small
+    letters) of the lines that end neither a sentence nor a part of one."""
+    body = [t for line in lines if (t := line.strip())]
+    number = [_is_number(t, page) for t in body]
+    out = []
+    for i, text in enumerate(body):
+        key = "" if number[i] or text[-1] in "。！？!?.,;:，；：、" else _KEY.sub("", text.lower())
+        if len(key) > 2:
+            near = any(number[max(0, i - 1) : i + 2])
+            out.append((key, _bears_number(text, page), near, i + 1 < len(body) and body[i + 1][0].islower()))
+    return out
+
+
 def _like(a: str, b: str) -> bool:
     if a == b:
         return True
@@ -366,15 +396,39 @@ def known_forms(clean: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("form", "kind").agg(F.sum("n").alias("n"))
 
 
+def running(pages: DataFrame, text: str, page: str, unit: list[str]) -> DataFrame:
+    """The running headers found by their place, as letters: ``unit`` and head.
+
+    A header stands on two pages of its unit (a chapter) or more, with the
+    page's number in the line, or in three blocks, or next to a page number; if
+    no page's number is in it, it is not always read on in small letters. The
+    begin and end of a block tell nothing more: sentences that begin alike
+    stand there too. One count, grouped by unit and line.
+    """
+    given = pages.where(F.col(text).isNotNull() & F.col(page).isNotNull()).select(*unit, F.col(page).cast("int").alias("__page"), F.xxhash64(text).alias("__block"), F.col(text).alias("__text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("line", pa.string()), ("numbered", pa.bool_()), ("near", pa.bool_()), ("on", pa.bool_())]))
+        for batch in batches:
+            rows = [[dict(zip(("line", "numbered", "near", "on"), x, strict=True)) for x in placed(t.split("\n"), n)] for n, t in zip(batch.column(len(unit)).to_pylist(), batch.column(len(unit) + 2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=[*batch.schema.names[:-1], "__lines"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
+    lines = given.mapInArrow(work, schema + "__lines array<struct<line:string,numbered:boolean,near:boolean,on:boolean>>").select(*unit, "__page", "__block", F.inline("__lines"))
+    counted = lines.groupBy(*unit, "line").agg(F.min("__page").alias("a"), F.max("__page").alias("b"), F.count_distinct("__block").alias("blocks"), F.max("numbered").alias("numbered"), F.max("near").alias("near"), F.min("on").alias("on"))
+    return counted.where((F.col("a") < F.col("b")) & (F.col("numbered") | (~F.col("on") & ((F.col("blocks") > 2) | F.col("near"))))).select(*unit, F.col("line").alias("head"))
+
+
 def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[str], clean: DataFrame, clean_text: str) -> DataFrame:
     """What is wrong in scanned texts: the columns of ``keep``, line_no, defect
     (header, page_no, hyphen, char), seen, repaired.
 
-    ``titles`` is an array of the titles that can head the page. Lines count
+    ``titles`` is an array of the titles that can head the page, and of the
+    lines that :func:`running` finds by their place. Lines count
     from 0 and are parted by line feeds. ``repaired`` is empty for furniture,
     the whole word for hyphen and char, one character in CJK scripts. Null and
     blank texts give no rows; a null page has no page numbers, null titles no
-    headers; repeated rows give the same rows again; other columns are
+    headers but by number; repeated rows give the same rows again; other columns are
     dropped. Without clean text only furniture and joined words are found.
 
     Plan: counts of the clean forms (one aggregation), then one narrow pass

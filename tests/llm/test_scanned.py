@@ -1,6 +1,8 @@
 import random
 
-from quirefold.llm.scanned import Editor, difference, find_damage, furniture, number_of, paragraphs, parts, train_editor
+from pyspark.sql import functions as F
+
+from quirefold.llm.scanned import Editor, difference, find_damage, furniture, number_of, paragraphs, parts, running, train_editor
 
 NOUNS = "reviewer listener archive keeper storyboard schedule appendix checklist glossary narration moderator hypothesis".split()
 VERBS = "measured recorded shortened translated compared defended archived questioned".split()
@@ -19,6 +21,19 @@ def test_numbers_and_furniture():
     assert furniture(["7"], None, None) == [None]
 
 
+def test_header_without_title(spark):
+    lone = "A Ladder of Evidence"
+    rows = [(f"b{k}", "c1", k, f"{head}\nThe reviewer measured\nthe archive.") for k, head in enumerate((lone, lone.upper(), f"2   {lone}", "A Ladder of Evidcnce"))]
+    rows += [(f"s{k}", "c2", k, "What a surprise that\nthe keeper came.\n" + "x " * k) for k in range(4)]  # read on: a sentence
+    rows += [(f"r{k}", "c3", 5, f"{lone}\nThe keeper {k} came.") for k in range(3)]  # one page only
+    rows += [("n0", None, 7, f"{lone}\nhe came."), ("n1", None, 8, f"{lone}   8\nhe came.")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "id string, chapter string, page int, text string, titles array<string>")
+    clean = spark.createDataFrame([], "text string")
+    heads = running(df, "text", "page", ["chapter"]).groupBy("chapter").agg(F.collect_list("head").alias("heads"))
+    got = {(r["id"], r["line_no"]) for r in find_damage(df.join(heads, "chapter", "left"), "text", "page", "heads", ["id"], clean, "text").collect() if r["defect"] == "header"}
+    assert got == {("b0", 0), ("b1", 0), ("b2", 0), ("b3", 0), ("n1", 0)}
+
+
 def test_parts_across_furniture():
     got = parts("he was pa-\n7\ntient. A follow-\nup ended", 7, [], {"he", "was", "a", "ended", "up"})
     assert (0, "hyphen", "patient", "pa-tient") in got and (1, "page_no", "", "") in got and (2, "hyphen", "followup", "follow-up") in got
