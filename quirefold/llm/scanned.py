@@ -6,13 +6,15 @@ place: the same line on other pages of the chapter, next to a page number or in
 several blocks, and not read on in small letters. Broken and
 misread words are found as words that clean text doesn't know; an averaged
 perceptron, trained here on such words and their nearest known ones, edits
-them character by character, and an edit counts if the result is known.
+them character by character and joins what line ends part, and an edit counts
+if the result is known.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -40,6 +42,10 @@ HYPHENS = "-‐‑¬­"
 _PAGE_NO = re.compile(r"^[\W_]*(?:第|p\.|pp\.|page|seite|s\.|pág\.|стр\.|с\.|หน้า|쪽)?\s*(\d{1,5}|[ivxlc]+)\s*(?:页|頁|ページ|쪽)?[\W_]*$", re.IGNORECASE)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _CJK = re.compile(r"[々-〇぀-ヿ㐀-鿿\uf900-\ufaff]")
+#: Scripts written without blanks: their line ends part no words.
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
+#: One in so many line ends between two known words teaches what is no join.
+PLAIN_ENDS = 16
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _KEY = re.compile(r"[\W\d_]+")
 _APART = re.compile(r"\s{2,}")
@@ -149,16 +155,26 @@ def parts(text: str, page: int | None, titles: list[str], known: set[str]) -> li
     """(line, kind, text, other) of a block: its furniture (header, page_no),
     its words broken at a line end (hyphen: joined; other: with the hyphen),
     and what is not in ``known``: words (word) and CJK characters between
-    their neighbours (cjk, with two neighbours on each side)."""
+    their neighbours (cjk, with two neighbours on each side). Line ends
+    without a hyphen that could part a word: join (with a word not in
+    ``known``, or known if joined) or, for a share of the others, plain."""
+    return [x[:4] for x in _parts(text, page, titles, known)]
+
+
+def _parts(text: str, page: int | None, titles: list[str], known: set[str]) -> list[tuple[int, str, str, str, str]]:
+    """As :func:`parts`, with the line end (left half and its hyphen, a line
+    feed, right half) that a row is, or whose half it is."""
     lines = text.split("\n")
     kinds = furniture(lines, page, titles)
-    out: list[tuple[int, str, str, str]] = [(i, k, "", "") for i, k in enumerate(kinds) if k]
+    out: list[tuple[int, str, str, str, str]] = [(i, k, "", "", "") for i, k in enumerate(kinds) if k]
     body = [i for i, k in enumerate(kinds) if not k and lines[i].strip()]
     skip_first: set[int] = set()
+    half: dict[int, str] = {}
     for at, i in enumerate(body):
         tokens = lines[i].split()
         if i in skip_first:
             tokens = tokens[1:]
+        ends = {0: half[i]} if i in half else {}
         if at + 1 < len(body) and tokens:
             last = tokens[-1]
             nxt = lines[body[at + 1]].split()
@@ -167,15 +183,23 @@ def parts(text: str, page: int | None, titles: list[str], known: set[str]) -> li
                 own = "-" if last[len(stem)] == "-" else ""
                 left, right = re.sub(r"^[\W_]+", "", stem), re.sub(r"[\W_]+$", "", nxt[0])
                 if left and right:
-                    out.append((i, "hyphen", left + right, left + "-" + right if own else ""))
+                    out.append((i, "hyphen", left + right, left + "-" + right if own else "", f"{left}{last[len(stem)]}\n{right}"))
                     tokens = tokens[:-1]
                     skip_first.add(body[at + 1])
-        for token in tokens:
+            elif last == stem and last[-1].isalpha() and nxt[0][0].isalpha() and len(tokens) - 1 not in ends and not any(p.search(x) for p in (_CJK, _DENSE) for x in (last, nxt[0])):
+                left, right = _bare(last), _bare(nxt[0])
+                end = f"{left}\n{right}"
+                if left.lower() not in known or right.lower() not in known or (left + right).lower() in known:
+                    out.append((i, "join", left + right, "", end))
+                    ends[len(tokens) - 1] = half[body[at + 1]] = end
+                elif zlib.crc32(end.encode()) % PLAIN_ENDS == 0:
+                    out.append((i, "plain", left + right, "", end))
+        for k, token in enumerate(tokens):
             if _CJK.search(token):
                 continue
             bare = _bare(token)
             if len(bare) > 1 and bare.lower() not in known and any(c.isalpha() for c in bare):
-                out.append((i, "word", bare, ""))
+                out.append((i, "word", bare, "", ends.get(k, "")))
     flat, line_at = [" "], [-1]
     for i in body:
         for c in lines[i]:
@@ -187,7 +211,7 @@ def parts(text: str, page: int | None, titles: list[str], known: set[str]) -> li
             if _CJK.match(flat[j]):
                 w = flat[j - 1] + flat[j] + flat[j + 1]
                 if w not in known:
-                    out.append((line_at[j], "cjk", (flat[j - 2] if j > 1 else " ") + w + (flat[j + 2] if j + 2 < len(flat) else " "), ""))
+                    out.append((line_at[j], "cjk", (flat[j - 2] if j > 1 else " ") + w + (flat[j + 2] if j + 2 < len(flat) else " "), "", ""))
     return out
 
 
@@ -196,8 +220,8 @@ class Editor:
 
     The edits are: keep, put another text in the character's place (replace or
     insert), delete; a pair of characters read for one is a replacement
-    followed by a deletion, a line join the deletion of its hyphen. Weights
-    lie on pairs of a feature of the place and an edit.
+    followed by a deletion. At a line end it chooses to join or to keep apart.
+    Weights lie on pairs of a feature of the place and an edit.
     """
 
     def __init__(self):
@@ -214,8 +238,35 @@ class Editor:
         get = self.weights.get
         return sum(get((f, edit), 0.0) for f in feats)
 
-    def train(self, pairs: list[tuple[str, dict[int, str]]], rounds: int = 5, seed: int = 7) -> None:
-        """``pairs``: words with the edits at their places; others are kept."""
+    @staticmethod
+    def end_features(end: str, counts: dict[str, int]) -> list[str]:
+        """Of a line end: letters on both sides, hyphen or none, and whether
+        clean text knows the joined form and the halves."""
+        left, _, right = end.lower().partition("\n")
+        stem = left.rstrip(HYPHENS)
+        mark = "-" if stem != left else "0"
+        known = [str(int(counts[k] > (k == "plain"))) for k in ("plain", "own", "left", "right")]
+        return [mark + x for x in ("", "j" + known[0], "o" + known[1], "h" + known[2] + known[3], "all" + "".join(known), "<" + stem[-1:], "<<" + stem[-2:], ">" + right[:1], ">>" + right[:2], "<>" + stem[-1:] + right[:1])]
+
+    @staticmethod
+    def end_truth(kind: str, counts: dict[str, int]) -> str | None:
+        """What clean text says of a line end, if it does: ``join`` if it knows
+        the whole and, without a hyphen, not both halves; without a hyphen
+        ``keep`` if it knows both halves or doesn't know the whole."""
+        if kind == "hyphen":
+            return "join" if counts["plain"] or counts["own"] else None
+        both = counts["left"] and counts["right"]
+        return "keep" if both or not counts["plain"] else "join" if counts["plain"] > 1 else None
+
+    def joins(self, end: str, counts: dict[str, int]) -> bool:
+        """Whether a line end is to be joined; untrained, hyphens are."""
+        feats = self.end_features(end, counts)
+        s = self.score(feats, "join") - self.score(feats, "keep")
+        return s > 0 or (s == 0 and feats[0] == "-")
+
+    def train(self, pairs: list[tuple[str, dict[int, str]]], rounds: int = 5, seed: int = 7, ends: list[tuple[list[str], str]] | None = None) -> None:
+        """``pairs``: words with the edits at their places; others are kept.
+        ``ends``: features of line ends and what is right there."""
         edits: dict[str, Counter] = defaultdict(Counter)
         for word, at in pairs:
             for i, e in at.items():
@@ -249,6 +300,12 @@ class Editor:
                     if guess != truth:
                         change(feats, truth, 1.0)
                         change(feats, guess, -1.0)
+            for feats, truth in ends or ():
+                step += 1
+                guess = max(("keep", "join"), key=lambda e: sum(weights[(f, e)] for f in feats))
+                if guess != truth:
+                    change(feats, truth, 1.0)
+                    change(feats, guess, -1.0)
         self.weights = {k: (total[k] + (step - when[k]) * w) / max(1, step) for k, w in weights.items() if w or total[k]}
 
     def candidates(self, word: str, most: int = CANDIDATES, only: int | None = None) -> list[tuple[str, float]]:
@@ -315,13 +372,14 @@ def _holes(word: str) -> Iterator[str]:
             yield word[:i] + "*" + word[i + 2 :]
 
 
-def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, list[str]] | None = None) -> Editor:
+def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, list[str]] | None = None, ends: list[tuple[list[str], str]] | None = None) -> Editor:
     """The editor, from unknown words and the known ones next to them.
 
     ``wide``: unknown CJK windows, and what stands in the middle of the known
     windows with the same neighbours; of a character the middle is taken that
     most of its windows allow, three at least. An operation counts that
-    LEAST_SHOWN words show; known words teach what to keep.
+    LEAST_SHOWN words show; known words teach what to keep. ``ends``: line
+    ends, see :meth:`Editor.train`.
     """
     near: dict[str, list[str]] = defaultdict(list)
     for w in known:
@@ -354,7 +412,7 @@ def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, list
     pairs = [(u, {i: f"{len(x)}:{x}>{y}"}) for u, i, x, y in found if len(shown[(x, y)]) >= LEAST_SHOWN]
     editor = Editor()
     most_known = sorted(known, key=lambda w: (-known[w], w))[: 2 * len(pairs) + 100]
-    editor.train(pairs + [(w, {}) for w in most_known])
+    editor.train(pairs + [(w, {}) for w in most_known], ends=ends)
     return editor
 
 
@@ -372,7 +430,7 @@ def _corrections(editor: Editor, kind: str, seen: str) -> list[dict]:
     return out
 
 
-_PARTS = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("seen", pa.string()), ("other", pa.string())]))
+_PARTS = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("seen", pa.string()), ("other", pa.string()), ("end", pa.string())]))
 
 
 def known_forms(clean: DataFrame, text: str) -> DataFrame:
@@ -447,11 +505,11 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
         own = shared.value
         for batch in batches:
             numbers, heads, texts = (batch.column(batch.num_columns - k).to_pylist() for k in (3, 2, 1))
-            rows = [[dict(zip(("line_no", "kind", "seen", "other"), p, strict=True)) for p in parts(t, n, h, own)] for n, h, t in zip(numbers, heads, texts, strict=True)]
+            rows = [[dict(zip(("line_no", "kind", "seen", "other", "end"), p, strict=True)) for p in _parts(t, n, h, own)] for n, h, t in zip(numbers, heads, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(rows, _PARTS)], names=[*batch.schema.names[:-3], "__parts"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-3])
-    found = cut_lineage(given.mapInArrow(work, schema + "__parts array<struct<line_no:int,kind:string,seen:string,other:string>>").select(*keep, F.inline("__parts")))
+    found = cut_lineage(given.mapInArrow(work, schema + "__parts array<struct<line_no:int,kind:string,seen:string,other:string,end:string>>").select(*keep, F.inline("__parts")))
 
     # the distinct forms that could be wrong, and how often they are seen
     forms = found.where(F.col("kind").isin("word", "cjk", "hyphen")).select(F.when(F.col("kind") == "cjk", "cjk").otherwise("word").alias("kind"), "seen", F.when(F.col("kind") == "cjk", F.substring("seen", 2, 3)).otherwise(F.lower("seen")).alias("form"))
@@ -463,7 +521,15 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
     middles = known.where((F.col("kind") == "cjk") & (F.col("n") >= 2)).select(around, F.substring("form", 2, 1).alias("middle"), "n").join(F.broadcast(some.select("around").distinct()), "around")
     several = middles.groupBy("around").agg(F.sort_array(F.collect_set("middle")).alias("middles"))
     wide = {r["form"]: r["middles"] for r in some.join(several, "around").collect() if r["form"][1:2] not in r["middles"]}
-    editor = spark.sparkContext.broadcast(train_editor(words, table, wide))
+    # the distinct line ends, with the counts of the whole (plain, own: with its hyphen) and the halves
+    counts = known.where(F.col("kind") == "word").select("form", "n")
+    roles = {"plain": F.col("seen"), "own": F.col("other"), "left": F.regexp_replace(F.substring_index("end", "\n", 1), f"[{HYPHENS[1:]}-]+$", ""), "right": F.substring_index("end", "\n", -1)}
+    ends = found.where(F.col("kind").isin("hyphen", "join", "plain")).select("kind", "seen", "other", "end").distinct()
+    asked = ends.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("role"), F.lower(c).alias("form")) for k, c in roles.items()])).alias("x")).select("kind", "seen", "other", "end", "x.*")
+    ends = cut_lineage(asked.join(counts, "form", "left").groupBy("kind", "seen", "other", "end").agg(*[F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(k) for k in roles]))
+    shown = [(r["kind"], r["end"], {k: r[k] for k in roles}) for r in ends.orderBy(F.xxhash64("end"), "kind", "end", "seen", "other").limit(TRAIN_UNKNOWN).collect()]
+    taught = [(Editor.end_features(e, c), t) for k, e, c in shown if (t := Editor.end_truth(k, c))]
+    editor = spark.sparkContext.broadcast(train_editor(words, table, wide, taught))
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = editor.value
@@ -475,7 +541,7 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
     tried = seen.select("kind", "seen", "m").mapInArrow(edit, "kind string, seen string, m bigint, c array<struct<fixed:string,score:double,forms:array<string>>>").select("kind", "seen", "m", F.inline("c"))
     # a candidate counts if all forms that it makes are known
     ids = ["kind", "seen", "m", "fixed", "score"]
-    fixes = (
+    fixes = cut_lineage(
         tried.withColumn("need", F.size("forms"))
         .withColumn("form", F.explode("forms"))
         .join(known, ["form", "kind"])
@@ -485,18 +551,21 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
         .groupBy("kind", "seen")
         .agg(F.max_by("fixed", F.struct("score", "n", "fixed")).alias("fixed"))
     )
-    # a joined word: known as such, known with its hyphen, or set right
-    joined = found.where(F.col("kind") == "hyphen").select("seen", "other").distinct()
-    counts = known.where(F.col("kind") == "word").select("form", "n")
-    plain = joined.withColumn("form", F.lower("seen")).join(counts, "form", "left").select("seen", "other", F.coalesce("n", F.lit(0)).alias("n_plain"))
-    both = plain.withColumn("form", F.lower("other")).join(counts, "form", "left").select("seen", "other", "n_plain", F.coalesce("n", F.lit(0)).alias("n_own"))
-    right = both.join(fixes.where(F.col("kind") == "word").select("seen", "fixed"), "seen", "left").select(
-        F.lit("hyphen").alias("kind"), "seen", "other", F.when((F.col("n_own") > F.col("n_plain")) & (F.col("other") != ""), F.col("other")).when(F.col("n_plain") > 0, F.col("seen")).otherwise(F.coalesce("fixed", "seen")).alias("repaired")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = editor.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.joins(r["end"], r) for r in batch.to_pylist()], pa.bool_()))
+
+    # a joined word: known as such, known with its hyphen, or set right; without a hyphen it has to be known
+    joined = cut_lineage(ends.where((F.col("kind") == "hyphen") | ((F.col("kind") == "join") & (F.col("plain") > 1))).mapInArrow(decide, ends.schema))
+    right = joined.join(fixes.where(F.col("kind") == "word").select("seen", "fixed"), "seen", "left").select(
+        "kind", "seen", "other", "end", F.when((F.col("own") > F.col("plain")) & (F.col("other") != ""), F.col("other")).when(F.col("plain") > 0, F.col("seen")).otherwise(F.coalesce("fixed", "seen")).alias("repaired")
     )
     out = ["line_no", F.col("kind"), "seen"]
     lines = found.where(F.col("kind").isin("header", "page_no")).select(*keep, *out, F.lit("").alias("repaired"))
-    hyphens = found.where(F.col("kind") == "hyphen").join(right, ["kind", "seen", "other"]).select(*keep, *out, "repaired")
-    chars = found.where(F.col("kind").isin("word", "cjk")).join(fixes, ["kind", "seen"]).select(*keep, "line_no", F.lit("char").alias("kind"), F.when(F.col("kind") == "cjk", F.substring("seen", 3, 1)).otherwise(F.col("seen")).alias("seen"), F.col("fixed").alias("repaired"))
+    hyphens = found.where(F.col("kind").isin("hyphen", "join")).join(right, ["kind", "seen", "other", "end"]).select(*keep, "line_no", F.lit("hyphen").alias("kind"), "seen", "repaired")
+    halves = joined.where(F.col("kind") == "join").select("end").distinct()
+    chars = found.where(F.col("kind").isin("word", "cjk")).join(halves, "end", "left_anti").join(fixes, ["kind", "seen"]).select(*keep, "line_no", F.lit("char").alias("kind"), F.when(F.col("kind") == "cjk", F.substring("seen", 3, 1)).otherwise(F.col("seen")).alias("seen"), F.col("fixed").alias("repaired"))
     return lines.unionByName(hyphens).unionByName(chars).withColumnRenamed("kind", "defect")
 
 

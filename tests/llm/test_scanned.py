@@ -95,3 +95,25 @@ def test_paragraphs():
     damage = [(1, "page_no", "", ""), (2, "char", "accorcling", "according"), (2, "hyphen", "extended", "extended")]
     assert paragraphs(text, damage) == "The evidence ladder was according to the extended plan. It ended."
     assert paragraphs("第一行旳\n第二行。", [(0, "char", "旳", "的")]) == "第一行的第二行。"
+
+
+def test_joins_without_hyphen(spark):
+    rng = random.Random(5)
+    clean = spark.createDataFrame([(". ".join(sentence(rng) for _ in range(8)),) for _ in range(100)] + [("inthe",)] * 3, "text string")
+    pages, want = [], set()
+    for k in range(60):
+        noun = rng.choice(NOUNS)
+        cut = rng.randrange(2, len(noun) - 1)
+        if k % 3 == 0:  # parted without a hyphen
+            pages.append((k, f"before the {noun[:cut]}\n{noun[cut:]} archived it"))
+        elif k % 3 == 1:
+            pages.append((k, f"before the {noun[:cut]}-\n{noun[cut:]} archived it"))
+        else:  # two words
+            pages.append((k, f"before the\n{noun} archived it"))
+        if k % 3 < 2:
+            want.add((k, 0, "hyphen", noun))
+    df = spark.createDataFrame(pages, "id int, text string").selectExpr("*", "cast(null as int) as page", "cast(null as array<string>) as titles")
+    got = {(r["id"], r["line_no"], r["defect"], r["repaired"]) for r in find_damage(df, "text", "page", "titles", ["id"], clean, "text").collect()}
+    assert got == want
+    assert Editor().joins("pa-\ntient", dict.fromkeys(("plain", "own", "left", "right"), 0)) and not Editor().joins("in\nthe", dict.fromkeys(("plain", "own", "left", "right"), 5))
+    assert paragraphs("before the feed\nback, archived it", [(0, "hyphen", "feedback", "feedback")]) == "before the feedback, archived it"
