@@ -32,8 +32,6 @@ TRAIN_KNOWN = 60_000
 FREQUENT = 200_000
 #: Unknown words that must show an operation before it is believed.
 LEAST_SHOWN = 2
-#: Candidates per unknown word that are looked up.
-CANDIDATES = 24
 #: Likeness of a line to its chapter's title that makes it a header.
 LIKE_TITLE = 0.8
 
@@ -308,8 +306,10 @@ class Editor:
                     change(feats, guess, -1.0)
         self.weights = {k: (total[k] + (step - when[k]) * w) / max(1, step) for k, w in weights.items() if w or total[k]}
 
-    def candidates(self, word: str, most: int = CANDIDATES, only: int | None = None) -> list[tuple[str, float]]:
-        """The likeliest words by one or two edits, with their scores."""
+    def candidates(self, word: str, only: int | None = None, among: set[str] | None = None) -> list[tuple[str, float]]:
+        """All words by one or two learned edits, with their scores; ``among``:
+        only those whose lower case is there. Two edits make no form with
+        digits: numbers two places apart are all right."""
         options: list[tuple[float, int, str, int]] = []
         for i, c in enumerate(word):
             if only is not None and i != only:
@@ -323,15 +323,27 @@ class Editor:
                     continue
                 options.append((self.score(feats, edit) - self.score(feats, "keep"), i, new.split(">")[1], n))
         options.sort(reverse=True)
+        low = word.lower()
+        quick = among if len(low) == len(word) else None  # letter case doesn't move places
         out: dict[str, float] = {}
-        for s, i, new, n in options[:most]:
-            out.setdefault(self.put(word, [(i, new, n)]), s)
-        best = options[:6]
-        for a in range(len(best)):
-            for b in range(a + 1, len(best)):
-                (s, i, x, n), (t, j, y, m) = best[a], best[b]
-                if i + n <= j or j + m <= i:
-                    out.setdefault(self.put(word, [(i, x, n), (j, y, m)]), s + t - 1.0)
+
+        def add(edits: list[tuple[int, str, int]], score: float) -> None:
+            w = self.put(word, edits)
+            if among is None or w.lower() in among:
+                out[w] = max(out.get(w, score), score)
+
+        for s, i, new, n in options:
+            add([(i, new, n)], s)
+        for k, (s, i, x, n) in enumerate(options):
+            for t, j, y, m in options[k + 1 :]:
+                if i + n <= j:
+                    w = low[:i] + x + low[i + n : j] + y + low[j + m :]
+                elif j + m <= i:
+                    w = low[:j] + y + low[j + m : i] + x + low[i + n :]
+                else:
+                    continue
+                if (quick is None or w in quick) and not any(map(str.isdigit, w)):
+                    add([(i, x, n), (j, y, m)], s + t - 1.0)
         return list(out.items())
 
     @staticmethod
@@ -416,11 +428,12 @@ def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, list
     return editor
 
 
-def _corrections(editor: Editor, kind: str, seen: str) -> list[dict]:
+def _corrections(editor: Editor, kind: str, seen: str, among: set[str] | None = None) -> list[dict]:
     """Candidates for an unknown form, each with the forms that it makes: a word
-    itself; a CJK character the windows of it and of its CJK neighbours."""
+    itself; a CJK character the windows of it and of its CJK neighbours.
+    ``among``: all known words, if a task holds them."""
     if kind != "cjk":
-        return [{"fixed": w, "score": s, "forms": [w.lower()]} for w, s in editor.candidates(seen)]
+        return [{"fixed": w, "score": s, "forms": [w.lower()]} for w, s in editor.candidates(seen, among=among)]
     out = []
     for w, s in editor.candidates(seen[1:4], only=1):
         if len(w) == 3:
@@ -531,11 +544,15 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
     taught = [(Editor.end_features(e, c), t) for k, e, c in shown if (t := Editor.end_truth(k, c))]
     editor = spark.sparkContext.broadcast(train_editor(words, table, wide, taught))
 
+    # where tasks hold every word that counts, the others needn't be sent to the join
+    all_held = len(often["word"]) < FREQUENT
+
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = editor.value
+        among = shared.value if all_held else None
         kind = pa.list_(pa.struct([("fixed", pa.string()), ("score", pa.float64()), ("forms", pa.list_(pa.string()))]))
         for batch in batches:
-            rows = [_corrections(own, k, x) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [_corrections(own, k, x, among) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "c"])
 
     tried = seen.select("kind", "seen", "m").mapInArrow(edit, "kind string, seen string, m bigint, c array<struct<fixed:string,score:double,forms:array<string>>>").select("kind", "seen", "m", F.inline("c"))

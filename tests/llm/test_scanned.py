@@ -117,3 +117,14 @@ def test_joins_without_hyphen(spark):
     assert got == want
     assert Editor().joins("pa-\ntient", dict.fromkeys(("plain", "own", "left", "right"), 0)) and not Editor().joins("in\nthe", dict.fromkeys(("plain", "own", "left", "right"), 5))
     assert paragraphs("before the feed\nback, archived it", [(0, "hyphen", "feedback", "feedback")]) == "before the feedback, archived it"
+
+
+def test_every_candidate():
+    editor = Editor()
+    editor.edits = {c: [f"1:{c}>{x}" for x in "qxzwv"] for c in "abcdefghijklmnop"}
+    editor.weights = {("=" + c, f"1:{c}>q"): 1.0 for c in "abcdefgh"}
+    word = "abcdefghijklmnop"
+    got = dict(editor.candidates(word))
+    assert len(got) == 16 * 5 + 16 * 15 // 2 * 25 and "abcdefghijklmvov" in got and "abcdefghijklmnov" in got
+    assert set(dict(editor.candidates(word.upper(), among={"abcdefghijklmvov"}))) == {"ABCDEFGHIJKLMVOV"}
+    assert dict(editor.candidates("a1b", among={"q1q", "q1b"})).keys() == {"q1b"}
