@@ -115,7 +115,8 @@ def stretch(passage: str, text: str, wide: bool) -> int:
     ends: list[tuple[int, int, int, int, int]] = []  # text end, passage end, passage begin, matched, text begin
     for p, i, size in runs:
         begin, matched = i, size
-        for te, pe, pb, m, _ in reversed(ends[-40:]):
+        ends = [e for e in ends if p - e[0] <= gap]  # the others are too far back for all that follow
+        for te, pe, pb, m, _ in reversed(ends):
             over = max(0, te - p, pe - i)
             if over < size and p - te <= gap and i - pe <= gap and p > te - size and i > pe - size and pb <= i:
                 if m + size - over > matched or (m + size - over == matched and pb < begin):

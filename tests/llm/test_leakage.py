@@ -25,6 +25,14 @@ def test_stretch():
     assert stretch(p, compared("nothing of the kind"), False) == 0
 
 
+def test_stretch_over_many_repeats():
+    # 46 places of one phrase lie between a long block and the one that carries it on
+    head, phrase, tail = "themountainroadtothelakehouseisclosed", "abcdefghijkl", "becausethesnowlieshighuntilearlyspring"
+    p = head + tail + "".join(f"{phrase}{chr(0x3B1 + k % 20)}{chr(0x430 + k)}" for k in range(46))
+    text = head + phrase + tail
+    assert stretch(p, text, False) == len(head + tail)
+
+
 def cases(rng):
     items = [(f"i{k}", passage(rng)) for k in range(12)]
     docs, want = [], set()
