@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -53,23 +55,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def _own_folder(spark: SparkSession) -> str:
-    """The context's checkpoint folder, or a temporary one of this machine."""
+    """The context's checkpoint folder; a temporary one only where driver and
+    executors are one machine, and removed when the driver ends."""
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    folder = "file://" + tempfile.mkdtemp(prefix="quirefold-")
-    spark.sparkContext.setCheckpointDir(folder)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="quirefold-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir("file://" + folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def spread(df: DataFrame, rows_per_task: int = 20_000, least: int | None = None) -> DataFrame:
-    """Repartition ``df`` when its scan gives fewer tasks than there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a scan that gives fewer tasks than there are cores.
 
     Small files with heavy per-row work are read as one task; this evens the
-    rows out over the cores. A scan that already has that many tasks stays as
-    it is, so at scale no shuffle is added.
+    rows out over the cores. It decides on the plan only, never on the result,
+    and only for scans (counting the tasks of a join would run it); with as
+    many tasks as cores, as at scale, no shuffle is added.
     """
-    spark = df.sparkSession
-    want = least or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    have = df.rdd.getNumPartitions()
-    return df if have >= want else df.repartition(want)
+    want = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= want else scan.repartition(want)
