@@ -41,7 +41,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Scanned blocks with the headers of their chapter, by title or by place; all clean texts."""
-    blocks = table(spark, sf, "blocks")
+    blocks = spread(table(spark, sf, "blocks"))
     kinds = F.col("pdf_kind").isin("scanned", "mixed") & F.col("block_type").isin("paragraph", "quote", "footnote", "list")
     pages = blocks.where(kinds).select("book_id", "block_id", "chapter_id", "page", "original_text")
     heads = (
@@ -53,15 +53,14 @@ def _scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         .agg(F.sort_array(F.collect_set("head")).alias("heads"))
     )
     clean = blocks.where(F.col("pdf_kind") == "digital").select(F.col("original_text").alias("text")).unionByName(table(spark, sf, "scenes").select(F.col("voice_text").alias("text")))
-    # written once: finding the number of tasks below runs the plan a first time
-    return pages.join(cut_lineage(heads), ["book_id", "chapter_id"], "left"), clean
+    return pages.join(heads, ["book_id", "chapter_id"], "left"), clean
 
 
 def _damage(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     pages, clean = _scanned(spark, sf)
     text_key = F.xxhash64("original_text").alias("text_key")
     pages = pages.select("*", text_key)
-    return pages, find_damage(spread(pages), "original_text", "page", "heads", ["book_id", "block_id", "text_key"], spread(clean), "text")
+    return pages, find_damage(pages, "original_text", "page", "heads", ["book_id", "block_id", "text_key"], clean, "text")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,8 +6,8 @@ place: the same line on other pages of the chapter, next to a page number or in
 several blocks, and not read on in small letters. Broken and
 misread words are found as words that clean text doesn't know; an averaged
 perceptron, trained here on such words and their nearest known ones, edits
-them character by character and joins what line ends part, and an edit counts
-if the result is known.
+them character by character and joins what line ends part. An edit counts if
+the result is known and the perceptron scores it above keeping what is there.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,6 +36,10 @@ FREQUENT = 200_000
 LEAST_SHOWN = 2
 #: Likeness of a line to its chapter's title that makes it a header.
 LIKE_TITLE = 0.8
+#: Tokens whose check a task remembers before it starts anew.
+REMEMBERED = 200_000
+#: Letters of the begins and ends by which pairs of edits are ruled out.
+AFFIX = 6
 
 # Hyphens at line ends, and what stands around page numbers.
 HYPHENS = "-‐‑¬­"
@@ -70,6 +76,8 @@ def _is_number(text: str, page: int | None) -> bool:
 def _bears_number(text: str, page: int | None) -> bool:
     """The page's own number begins or ends the line, parted by two blanks or
     more from other letters."""
+    if " ".join(text.split()) == text:  # no two blanks in a row
+        return False
     pieces = _APART.split(text)
     return len(pieces) > 1 and any(_is_number(x, page) and _KEY.sub("", "".join(y)) for x, y in ((pieces[0], pieces[1:]), (pieces[-1], pieces[:-1])))
 
@@ -93,9 +101,9 @@ def furniture(lines: list[str], page: int | None, titles: list[str]) -> list[str
                 kind = "page_no"
             elif text[-1] not in "。！？!?." and _bears_number(text, page):
                 kind = "header"
-            elif keys and len(text) <= 40 + max(map(len, keys)) * 2:
+            elif keys and text[-1] not in "。！？!?.":
                 key = _KEY.sub("", text.lower())
-                if key and any(_like(key, k) for k in keys) and text[-1] not in "。！？!?.":
+                if key and any(_like(key, k) for k in keys):
                     kind = "header"
         out.append(kind)
     return out
@@ -115,13 +123,22 @@ def placed(lines: list[str], page: int | None) -> list[tuple[str, bool, bool, bo
     return out
 
 
+@lru_cache(maxsize=4096)
+def _title(key: str) -> tuple[frozenset, SequenceMatcher]:
+    """The letters of a title, and a matcher that is prepared for it."""
+    return frozenset(key), SequenceMatcher(None, "", key, autojunk=False)
+
+
 def _like(a: str, b: str) -> bool:
     if a == b:
         return True
     if not 0.75 <= len(a) / len(b) <= 1.34:
         return False
-    s = SequenceMatcher(None, a, b, autojunk=False)
-    return s.real_quick_ratio() >= LIKE_TITLE and s.quick_ratio() >= LIKE_TITLE and s.ratio() >= LIKE_TITLE
+    letters, s = _title(b)
+    if 2 * sum(map(letters.__contains__, a)) < LIKE_TITLE * (len(a) + len(b)):  # more can't match
+        return False
+    s.set_seq1(a)
+    return s.quick_ratio() >= LIKE_TITLE and s.ratio() >= LIKE_TITLE
 
 
 def _bare(token: str) -> str:
@@ -129,24 +146,28 @@ def _bare(token: str) -> str:
     return _OUTER.sub("", token)
 
 
-def words_of(text: str) -> Iterator[str]:
-    """The words of a clean text: tokens between blanks without outer
+def words_of(texts: list[str]) -> Counter:
+    """The words of clean texts, counted: tokens between blanks without outer
     punctuation and letters of CJK scripts, in lower case."""
-    for token in text.lower().split():
-        if not _CJK.search(token):
-            bare = _bare(token)
-            if bare:
-                yield bare
+    out: Counter = Counter()
+    for token, n in Counter(" ".join(texts).lower().split()).items():
+        if not _CJK.search(token) and (bare := _bare(token)):
+            out[bare] += n
+    return out
 
 
-def windows_of(text: str) -> Iterator[str]:
-    """Each CJK character between its neighbours; digits are one, line ends
-    don't count, the text's ends are blanks."""
-    flat = re.sub(r"\d", "0", "".join(text.split("\n")))
-    flat = f" {flat} "
-    for i in range(1, len(flat) - 1):
-        if _CJK.match(flat[i]):
-            yield flat[i - 1 : i + 2]
+_ZEROS = {c: "0" for c in range(0x110000) if chr(c).isdecimal()}
+
+
+def windows_of(texts: list[str]) -> Counter:
+    """Each CJK character between its neighbours, counted; digits are one, line
+    ends don't count, the text's ends are blanks."""
+    flat = "".join(f" {t.replace('\n', '')} " for t in texts if _CJK.search(t))
+    out: Counter = Counter()
+    for w, n in Counter(zip(flat, flat[1:], flat[2:])).items():
+        if _CJK.match(w[1]):
+            out["".join(w).translate(_ZEROS)] += n
+    return out
 
 
 def parts(text: str, page: int | None, titles: list[str], known: set[str]) -> list[tuple[int, str, str, str]]:
@@ -159,9 +180,13 @@ def parts(text: str, page: int | None, titles: list[str], known: set[str]) -> li
     return [x[:4] for x in _parts(text, page, titles, known)]
 
 
-def _parts(text: str, page: int | None, titles: list[str], known: set[str]) -> list[tuple[int, str, str, str, str]]:
+def _parts(text: str, page: int | None, titles: list[str], known: set[str], checked: dict[str, str] | None = None) -> list[tuple[int, str, str, str, str]]:
     """As :func:`parts`, with the line end (left half and its hyphen, a line
-    feed, right half) that a row is, or whose half it is."""
+    feed, right half) that a row is, or whose half it is. ``checked``
+    remembers what :func:`_unknown` said of a token."""
+    checked = {} if checked is None else checked
+    if len(checked) > REMEMBERED:
+        checked.clear()
     lines = text.split("\n")
     kinds = furniture(lines, page, titles)
     out: list[tuple[int, str, str, str, str]] = [(i, k, "", "", "") for i, k in enumerate(kinds) if k]
@@ -193,35 +218,45 @@ def _parts(text: str, page: int | None, titles: list[str], known: set[str]) -> l
                 elif zlib.crc32(end.encode()) % PLAIN_ENDS == 0:
                     out.append((i, "plain", left + right, "", end))
         for k, token in enumerate(tokens):
-            if _CJK.search(token):
-                continue
-            bare = _bare(token)
-            if len(bare) > 1 and bare.lower() not in known and any(c.isalpha() for c in bare):
+            bare = checked.get(token)
+            if bare is None:
+                bare = checked[token] = _unknown(token, known)
+            if bare:
                 out.append((i, "word", bare, "", ends.get(k, "")))
-    flat, line_at = [" "], [-1]
-    for i in body:
-        for c in lines[i]:
-            flat.append("0" if c.isdigit() else c)
-            line_at.append(i)
-    flat.append(" ")
     if _CJK.search(text):
-        for j in range(1, len(flat) - 1):
-            if _CJK.match(flat[j]):
-                w = flat[j - 1] + flat[j] + flat[j + 1]
-                if w not in known:
-                    out.append((line_at[j], "cjk", (flat[j - 2] if j > 1 else " ") + w + (flat[j + 2] if j + 2 < len(flat) else " "), "", ""))
+        flat = f"  {''.join(lines[i] for i in body)}  "
+        starts = [2]
+        for i in body:
+            starts.append(starts[-1] + len(lines[i]))
+        for j, w in enumerate(zip(flat[1:], flat[2:], flat[3:]), 2):
+            if "".join(w) not in known and j < len(flat) - 2 and _CJK.match(w[1]) and "".join(w).translate(_ZEROS) not in known:
+                out.append((body[bisect_right(starts, j) - 1], "cjk", flat[j - 2 : j + 3].translate(_ZEROS), "", ""))
     return out
 
 
+def _unknown(token: str, known: set[str]) -> str:
+    """The bare word if the token holds one that clean text doesn't know, else
+    nothing."""
+    if _CJK.search(token):
+        return ""
+    bare = _bare(token)
+    return bare if len(bare) > 1 and bare.lower() not in known and any(c.isalpha() for c in bare) else ""
+
+
 class Editor:
     """An averaged perceptron that chooses an edit for every character.
 
     The edits are: keep, put another text in the character's place (replace or
     insert), delete; a pair of characters read for one is a replacement
     followed by a deletion. At a line end it chooses to join or to keep apart.
-    Weights lie on pairs of a feature of the place and an edit.
+    Weights lie on pairs of a feature of the place and an edit; one more
+    feature of every choice is whether clean text knows the word that results.
+    An edit is right if it scores above keeping what is there.
     """
 
+    #: Pseudo-edits of the feature "clean text knows the result", of words and of CJK windows.
+    KNOWN = {"word": ("known", "word"), "cjk": ("known", "cjk")}
+
     def __init__(self):
         self.weights: dict[tuple[str, str], float] = {}
         self.edits: dict[str, list[str]] = {}
@@ -262,42 +297,69 @@ class Editor:
         s = self.score(feats, "join") - self.score(feats, "keep")
         return s > 0 or (s == 0 and feats[0] == "-")
 
-    def train(self, pairs: list[tuple[str, dict[int, str]]], rounds: int = 5, seed: int = 7, ends: list[tuple[list[str], str]] | None = None) -> None:
-        """``pairs``: words with the edits at their places; others are kept.
-        ``ends``: features of line ends and what is right there."""
+    def bonus(self, kind: str) -> float:
+        """What a known result adds to the score of an edit of an unknown form."""
+        return self.weights.get(self.KNOWN[kind], 0.0)
+
+    def train(self, pairs: list[tuple[str, dict[int, str]]], rounds: int = 5, seed: int = 7, ends: list[tuple[list[str], str]] | None = None, known: Container[str] = (), windows: Container[str] = ()) -> None:
+        """``pairs``: words (or CJK windows, if they are in ``windows``) with the
+        edits at their places; others are kept. ``ends``: features of line ends
+        and what is right there. ``known``: the words of clean text; the edits
+        that pairs give for windows make known ones."""
         edits: dict[str, Counter] = defaultdict(Counter)
         for word, at in pairs:
             for i, e in at.items():
                 edits[word[i].lower()][e] += 1
         self.edits = {c: [e for e, _ in k.most_common()] for c, k in edits.items()}
+        # every place where there is a choice: features, truth, and the choices with what they make
+        places: list[list[tuple[list[str], str, list[tuple[str, bool]]]]] = []
+        for word, at in pairs:
+            wide = word in windows
+            mine = []
+            for i, c in enumerate(word):
+                if i == 1 or not wide:
+                    truth = at.get(i, "keep")
+                    choices = [("keep", not wide and word in known)]
+                    for e in self.edits.get(c.lower(), ()):
+                        width, _, change_ = e.partition(":")
+                        choices.append((e, e == truth if wide else self.put(word, [(i, change_.split(">")[1], int(width))]).lower() in known))
+                    if len(choices) > 1:
+                        mine.append((self.features(word, i), truth, choices))
+            if mine:
+                places.append((self.KNOWN["cjk" if wide else "word"], mine))
         total: dict[tuple[str, str], float] = defaultdict(float)
         when: dict[tuple[str, str], int] = {}
         weights: dict[tuple[str, str], float] = defaultdict(float)
         step = 0
-        order = list(pairs)
         rng = random.Random(seed)
 
         def change(feats: list[str], edit: str, by: float) -> None:
-            for f in feats:
-                k = (f, edit)
-                total[k] += (step - when.get(k, 0)) * weights[k]
-                when[k] = step
-                weights[k] += by
+            for k in [(f, edit) for f in feats]:
+                shift(k, by)
+
+        def shift(k: tuple[str, str], by: float) -> None:
+            total[k] += (step - when.get(k, 0)) * weights[k]
+            when[k] = step
+            weights[k] += by
 
         for _ in range(rounds):
-            rng.shuffle(order)
-            for word, at in order:
-                for i, c in enumerate(word):
-                    open_ = self.edits.get(c.lower())
-                    if not open_:
-                        continue
+            rng.shuffle(places)
+            for lexical, mine in places:
+                for feats, truth, choices in mine:
                     step += 1
-                    feats = self.features(word, i)
-                    truth = at.get(i, "keep")
-                    guess = max(["keep", *open_], key=lambda e: sum(weights[(f, e)] for f in feats))
+                    more = weights[lexical]
+                    best, guess, is_known, truth_known = None, "", False, False
+                    for e, k in choices:
+                        score = sum([weights[(f, e)] for f in feats]) + (more if k else 0.0)
+                        if e == truth:
+                            truth_known = k
+                        if best is None or score > best:
+                            best, guess, is_known = score, e, k
                     if guess != truth:
                         change(feats, truth, 1.0)
                         change(feats, guess, -1.0)
+                        if truth_known != is_known:
+                            shift(lexical, 1.0 if truth_known else -1.0)
             for feats, truth in ends or ():
                 step += 1
                 guess = max(("keep", "join"), key=lambda e: sum(weights[(f, e)] for f in feats))
@@ -325,6 +387,11 @@ class Editor:
         options.sort(reverse=True)
         low = word.lower()
         quick = among if len(low) == len(word) else None  # letter case doesn't move places
+        first = second = options
+        if quick is not None:  # a pair's earlier edit must make a begin, the later one an end, of a known word
+            begins, ends = affixes(among)
+            first = [o for o in options if (low[: o[1]] + o[2])[:AFFIX] in begins]
+            second = [o for o in options if (o[2] + low[o[1] + o[3] :])[-AFFIX:] in ends]
         out: dict[str, float] = {}
 
         def add(edits: list[tuple[int, str, int]], score: float) -> None:
@@ -334,16 +401,12 @@ class Editor:
 
         for s, i, new, n in options:
             add([(i, new, n)], s)
-        for k, (s, i, x, n) in enumerate(options):
-            for t, j, y, m in options[k + 1 :]:
+        for s, i, x, n in first:
+            for t, j, y, m in second:
                 if i + n <= j:
                     w = low[:i] + x + low[i + n : j] + y + low[j + m :]
-                elif j + m <= i:
-                    w = low[:j] + y + low[j + m : i] + x + low[i + n :]
-                else:
-                    continue
-                if (quick is None or w in quick) and not any(map(str.isdigit, w)):
-                    add([(i, x, n), (j, y, m)], s + t - 1.0)
+                    if (quick is None or w in quick) and not any(map(str.isdigit, w)):
+                        add([(i, x, n), (j, y, m)], s + t - 1.0)
         return list(out.items())
 
     @staticmethod
@@ -360,6 +423,34 @@ class Editor:
         return word
 
 
+@lru_cache(maxsize=1)
+def _affixes(words: "_ById") -> tuple[set[str], set[str]]:
+    begins, ends = {""}, {""}
+    for w in words.held:
+        for k in range(1, min(len(w), AFFIX) + 1):
+            begins.add(w[:k])
+            ends.add(w[-k:])
+    return begins, ends
+
+
+class _ById:
+    """A set that is the same only as itself."""
+
+    def __init__(self, held: set[str]):
+        self.held = held
+
+    def __hash__(self) -> int:
+        return id(self.held)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _ById) and self.held is other.held
+
+
+def affixes(words: set[str]) -> tuple[set[str], set[str]]:
+    """All begins and all ends of up to AFFIX letters of the words."""
+    return _affixes(_ById(words))
+
+
 def difference(a: str, b: str) -> tuple[int, str, str] | None:
     """(place, what stands in a, what stands in b) if two words differ in one
     place by at most two characters against one or two; else None."""
@@ -384,8 +475,10 @@ def _holes(word: str) -> Iterator[str]:
             yield word[:i] + "*" + word[i + 2 :]
 
 
-def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, list[str]] | None = None, ends: list[tuple[list[str], str]] | None = None) -> Editor:
+def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, list[str]] | None = None, ends: list[tuple[list[str], str]] | None = None, rare: list[str] | None = None) -> Editor:
     """The editor, from unknown words and the known ones next to them.
+    ``rare``: right words that are as unknown, to be kept: those that clean
+    text has once, and is taken not to know here.
 
     ``wide``: unknown CJK windows, and what stands in the middle of the known
     windows with the same neighbours; of a character the middle is taken that
@@ -424,7 +517,8 @@ def train_editor(unknown: list[str], known: dict[str, int], wide: dict[str, list
     pairs = [(u, {i: f"{len(x)}:{x}>{y}"}) for u, i, x, y in found if len(shown[(x, y)]) >= LEAST_SHOWN]
     editor = Editor()
     most_known = sorted(known, key=lambda w: (-known[w], w))[: 2 * len(pairs) + 100]
-    editor.train(pairs + [(w, {}) for w in most_known], ends=ends)
+    kept = [(w, {}) for w in [*most_known, *(rare or ())]]
+    editor.train(pairs + kept, ends=ends, known=known, windows=wide or {})
     return editor
 
 
@@ -452,12 +546,8 @@ def known_forms(clean: DataFrame, text: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words: Counter = Counter()
-            wide: Counter = Counter()
-            for t in batch.column(0).to_pylist():
-                words.update(words_of(t))
-                if _CJK.search(t):
-                    wide.update(windows_of(t))
+            texts = batch.column(0).to_pylist()
+            words, wide = words_of(texts), windows_of(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*words, *wide], pa.string()), pa.array([*words.values(), *wide.values()], pa.int64()), pa.array(["word"] * len(words) + ["cjk"] * len(wide), pa.string())],
                 names=["form", "n", "kind"],
@@ -516,9 +606,10 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        checked: dict[str, str] = {}
         for batch in batches:
             numbers, heads, texts = (batch.column(batch.num_columns - k).to_pylist() for k in (3, 2, 1))
-            rows = [[dict(zip(("line_no", "kind", "seen", "other", "end"), p, strict=True)) for p in _parts(t, n, h, own)] for n, h, t in zip(numbers, heads, texts, strict=True)]
+            rows = [[dict(zip(("line_no", "kind", "seen", "other", "end"), p, strict=True)) for p in _parts(t, n, h, own, checked)] for n, h, t in zip(numbers, heads, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(rows, _PARTS)], names=[*batch.schema.names[:-3], "__parts"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-3])
@@ -528,6 +619,7 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
     forms = found.where(F.col("kind").isin("word", "cjk", "hyphen")).select(F.when(F.col("kind") == "cjk", "cjk").otherwise("word").alias("kind"), "seen", F.when(F.col("kind") == "cjk", F.substring("seen", 2, 3)).otherwise(F.lower("seen")).alias("form"))
     seen = cut_lineage(forms.groupBy("kind", "seen", "form").agg(F.count(F.lit(1)).alias("m")).join(known.select("form", "kind", F.col("n").alias("n_known")), ["form", "kind"], "left").where(F.coalesce("n_known", F.lit(0)) == 0))
     words = [r["seen"] for r in seen.where(F.col("kind") == "word").orderBy(F.xxhash64("seen")).limit(TRAIN_UNKNOWN).collect()]
+    rare = [r["form"] for r in known.where((F.col("kind") == "word") & (F.col("n") == 1)).orderBy(F.xxhash64("form")).limit(TRAIN_UNKNOWN).select("form").collect()]
     table = {r["form"]: r["n"] for r in known.where((F.col("kind") == "word") & (F.col("n") >= 2)).orderBy(F.desc("n"), "form").limit(TRAIN_KNOWN).collect()}
     around = F.concat(F.substring("form", 1, 1), F.substring("form", 3, 1)).alias("around")
     some = seen.where((F.col("kind") == "cjk")).orderBy(F.xxhash64("form")).limit(TRAIN_UNKNOWN).select("form", around)
@@ -542,7 +634,9 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
     ends = cut_lineage(asked.join(counts, "form", "left").groupBy("kind", "seen", "other", "end").agg(*[F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(k) for k in roles]))
     shown = [(r["kind"], r["end"], {k: r[k] for k in roles}) for r in ends.orderBy(F.xxhash64("end"), "kind", "end", "seen", "other").limit(TRAIN_UNKNOWN).collect()]
     taught = [(Editor.end_features(e, c), t) for k, e, c in shown if (t := Editor.end_truth(k, c))]
-    editor = spark.sparkContext.broadcast(train_editor(words, table, wide, taught))
+    trained = train_editor(words, table, wide, taught, rare)
+    editor = spark.sparkContext.broadcast(trained)
+    bonus = F.when(F.col("kind") == "cjk", trained.bonus("cjk")).otherwise(trained.bonus("word"))
 
     # where tasks hold every word that counts, the others needn't be sent to the join
     all_held = len(often["word"]) < FREQUENT
@@ -556,10 +650,11 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "c"])
 
     tried = seen.select("kind", "seen", "m").mapInArrow(edit, "kind string, seen string, m bigint, c array<struct<fixed:string,score:double,forms:array<string>>>").select("kind", "seen", "m", F.inline("c"))
-    # a candidate counts if all forms that it makes are known
+    # a candidate counts if all forms that it makes are known, and it scores above keeping what is there
     ids = ["kind", "seen", "m", "fixed", "score"]
     fixes = cut_lineage(
-        tried.withColumn("need", F.size("forms"))
+        tried.where(F.col("score") + bonus > 0)
+        .withColumn("need", F.size("forms"))
         .withColumn("form", F.explode("forms"))
         .join(known, ["form", "kind"])
         .groupBy(*ids, "need")
