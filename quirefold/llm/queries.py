@@ -160,10 +160,10 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's text in its consistent form."""
+    """Every document's text in its consistent form, with the key by which it
+    compares: equal for texts that look the same."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    keyed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"))
-    return keyed.join(one_form(docs, "text"), "text_key").select("doc_id", "form").distinct()
+    return one_form(docs, "text", ["doc_id"]).select("doc_id", "form", F.hex("look_key").alias("look_key")).distinct()
 
 
 _P5_ITEMS = """
