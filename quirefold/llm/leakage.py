@@ -1,59 +1,69 @@
 """Test passages inside a training corpus, by a positional inverted index.
 
-Terms are overlapping runs of letters and digits of the compared form of a
-text (see :func:`compared`); so spacing, punctuation, letter case and the form
-of characters play no part. The index stores where the test terms stand in the
-training texts. The posting lists of the rarest terms of a passage are
-intersected after subtracting the terms' offsets; what is left gives the
-places where a passage can stand, whole or in part, and these are checked.
+Terms are runs of letters and digits of the compared form of a text (see
+:func:`compared`), whatever stands between them; so spacing, punctuation,
+letter case and the form of characters play no part. Of the terms of a stretch
+those with the least hash are stored (see :func:`terms_of`). The index keeps
+the postings of all training texts - term, text, position - in a table that
+lies with the texts it was made of; any test set can ask it. The lists of the
+rarest terms of each part of a passage are intersected after subtracting the
+terms' offsets; what is left is checked letter by letter for an unbroken
+stretch.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quirefold.llm.lookalike import mapping
+from quirefold.llm.lookalike import mapping, replace_all
+from quirefold.session import cut_lineage
 
-#: Letters of a term, of a window that gives one term, of the shortest block
-#: that counts as matching, and of the longest gap between two blocks (one
-#: changed word or term, or an inserted mark); for alphabets, and for scripts
-#: whose characters are syllables or words.
+#: Letters of a term, of a window that stores its least term, of the shortest
+#: block that counts as matching, and of the longest gap between two blocks
+#: (one changed word or term, or an inserted mark); for alphabets, and for
+#: scripts whose characters are syllables or words.
 SIZES = {False: (12, 8, 12, 40), True: (6, 4, 5, 14)}
+#: Letters of a passage's part that asks with its rarest term.
+PART = {False: 16, True: 8}
 #: Share of a passage's letters and digits that has to be in one stretch.
 LEAST = 0.5
 #: Share of a stretch that changed words and marks may take.
 MOST_CHANGED = 0.38
-#: Share of the windows of a least stretch that must be hit for it to be
-#: checked; a changed word spoils two or three of them.
-LEAST_HIT = 0.35
-#: Adjusted positions this far apart can belong to one stretch.
-NEAR = 128
+#: Share of the parts of a least stretch of which a text has to hold a term to be checked.
+LEAST_HIT = 0.1
+#: Texts whose terms are computed at once.
+TEXTS = 256
+#: Terms of a test set that are broadcast; more are joined.
+HELD = 2_000_000
 _DROP = re.compile(r"[\W_]+")
 _WIDE = re.compile(r"[ᄀ-ᇿ぀-ヿ㐀-鿿가-힣\uf900-\ufaff]")
 
 
+def _folded(text: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", replace_all(text, _letters()))
+    return text.casefold()
+
+
 @lru_cache(maxsize=1)
-def _table() -> dict[int, str]:
-    m = mapping()
-    return dict(zip(m["code"].tolist(), m["target"].tolist(), strict=True))
+def _letters() -> dict[str, str]:
+    return {chr(c): x for c, x in mapping().items()}
 
 
 def compared(text: str) -> str:
     """The letters and digits of a text in one form: look-alikes, widths and
     compatibility forms made one, case folded, everything else left out."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(_table()))
-    return _DROP.sub("", text.casefold())
+    return _DROP.sub("", _folded(text))
 
 
 def is_wide(form: str) -> bool:
@@ -61,25 +71,68 @@ def is_wide(form: str) -> bool:
     return 2 * len(_WIDE.findall(form)) > len(form)
 
 
-def terms(form: str) -> list[str]:
-    """The terms of a compared form by offset. A form shorter than a term is
-    one term."""
-    k = SIZES[is_wide(form)][0]
-    return [form[i : i + k] for i in range(len(form) - k + 1)] or ([form] if form else [])
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: belongs to the compared form; has short terms."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    short = np.zeros(len(every), dtype=bool)
+    for m in _WIDE.finditer(every):
+        short[m.start()] = True
+    return np.fromiter(map(str.isalnum, every), bool, len(every)), short
 
 
-def rarest(form: str, counts: dict[str, int]) -> list[tuple[int, str]]:
-    """The rarest term of each window, with its offset; ties go to the first.
+def _ahead(x: np.ndarray, k: int, fill: int) -> np.ndarray:
+    """The values k places further on."""
+    return np.concatenate((x[k:], np.full(min(k, len(x)), fill, dtype=x.dtype)))
 
-    An undisturbed run of a window and a term's length holds at least one."""
-    w = SIZES[is_wide(form)][1]
-    every = terms(form)
-    out = []
-    for a in range(0, len(every), w):
-        part = range(a, min(a + w, len(every)))
-        i = min(part, key=lambda j: (counts.get(every[j], 0), j))
-        out.append((i, every[i]))
-    return out
+
+def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, term, short) of the terms that are stored of the texts'
+    compared forms: positions count their letters, terms are hashes.
+
+    A term starts at each letter; its length goes by the script of that letter
+    (``short``: the shorter one). Stored are those that have the least hash in
+    some window of neighbouring terms. So two texts that share a run as long
+    as a term and a window, less one letter, store the same term there.
+    """
+    alnum, short_ones = _kinds()
+    forms = [_folded(t) for t in texts]
+    codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = alnum[codes]
+    row = np.repeat(np.arange(len(forms)), np.fromiter(map(len, forms), np.int64, len(forms)))[inside]
+    codes = codes[inside]
+    sizes = np.bincount(row, minlength=len(forms))
+    pos = np.arange(len(codes)) - (np.cumsum(sizes) - sizes)[row]
+    short = short_ones[codes]
+    base = np.uint64(0x9E3779B97F4A7C15)
+    power = [np.uint64(pow(int(base), n, 1 << 64)) for n in range(13)]
+    one = codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
+    two = one * power[1] + _ahead(one, 1, 0)
+    four = two * power[2] + _ahead(two, 2, 0)
+    six = four * power[2] + _ahead(two, 4, 0)
+    twelve = six * power[6] + _ahead(six, 6, 0)
+    term = np.where(short, six, twelve)
+    for shift in (33, 29):
+        term ^= term >> np.uint64(shift)
+        term *= np.uint64(0xFF51AFD7ED558CCD)
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    whole = sizes[row] - pos >= np.where(short, SIZES[True][0], SIZES[False][0])
+    term = np.where(whole, term, most)
+    stored = np.zeros(len(term), dtype=bool)
+    for wide in (True, False):
+        least, k = term, 1
+        while k < SIZES[wide][1]:
+            least = np.minimum(least, _ahead(least, k, int(most)))
+            k *= 2
+        # the greatest of the minima of all windows around a term is the term itself if it is one of them
+        back = least[::-1]
+        k = 1
+        while k < SIZES[wide][1]:
+            back = np.maximum(back, _ahead(back, k, 0))
+            k *= 2
+        stored |= (term == back[::-1]) & (short if wide else True)
+    at = np.flatnonzero(stored & whole)
+    return row[at], pos[at].astype(np.int32), term[at].view(np.int64), short[at]
 
 
 def stretch(passage: str, text: str, wide: bool) -> int:
@@ -128,135 +181,155 @@ def stretch(passage: str, text: str, wide: bool) -> int:
     return best
 
 
-def _automaton(names: list[str]):
-    import ahocorasick
+def _postings(rows: DataFrame, keep: int) -> DataFrame:
+    """The first ``keep`` columns of ``rows`` with term, pos and short for every
+    term stored of the last column, a text. Narrow."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(a, TEXTS) for b in batches for a in range(0, b.num_rows, TEXTS)):
+            row, pos, term, short = terms_of(batch.column(keep).to_pylist())
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:keep]), pa.array(term), pa.array(pos), pa.array(short)], names=[*batch.schema.names[:keep], "term", "pos", "short"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:keep])
+    return rows.mapInArrow(work, schema + "term bigint, pos int, short boolean")
 
-    a = ahocorasick.Automaton()
-    for number, name in enumerate(names):
-        a.add_word(name, number)
-    a.make_automaton()
-    return a
 
+def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The positional index of a corpus: key, text_key (a hash of the text),
+    term, pos; written to the shared folder, to be asked by any number of test
+    sets (see :func:`find_leaks`). Null keys and texts have no postings.
+
+    Plan: one narrow pass. The table is partitioned by documents, as they are
+    read: an intersection happens within a document, so postings need not be
+    brought together by term, and no posting is shuffled.
+    """
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("text"))
+    return cut_lineage(_postings(rows, 2).select("key", "text_key", "term", "pos"))
 
-def term_counts(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
-    """How often each term stands in all the texts: term, n. Counted within
-    each task first; terms that don't occur have no row."""
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+def _asked(tests: DataFrame, item: str, passage: str) -> DataFrame:
+    """item, q (a number of the passage), passage (in compared form) and
+    n_letters, of the test rows that have letters or digits; distinct."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        automaton = _automaton(own)
-        counts: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(number for _, number in automaton.iter(compared(t)))
-        yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
-    rows = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(work, "term string, n bigint")
-    return rows.groupBy("term").agg(F.sum("n").alias("n"))
-
-
-class Places:
-    """Where the anchor terms stand in the passages, by number of the term."""
-
-    def __init__(self, forms: list[str], counts: dict[str, int]):
-        anchors = sorted((t, q, off) for q, f in enumerate(forms) for off, t in rarest(f, counts))
-        self.names = sorted({t for t, _, _ in anchors})
-        number = {t: i for i, t in enumerate(self.names)}
-        of = np.array([number[t] for t, _, _ in anchors], dtype=np.int64)
-        self.start = np.searchsorted(of, np.arange(len(self.names) + 1))
-        self.passage = np.array([q for _, q, _ in anchors], dtype=np.int64)
-        self.offset = np.array([off for _, _, off in anchors], dtype=np.int64)
-        self.windows = np.bincount(self.passage, minlength=len(forms))
-
-
-def postings(forms: list[str], places: Places, automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The positional index of a shard over the anchor terms: term, text and
-    position of each posting, ordered by term, text and position."""
-    terms_, texts, at = [], [], []
-    for row, form in enumerate(forms):
-        for end, number in automaton.iter(form):
-            terms_.append(number)
-            texts.append(row)
-            at.append(end - len(places.names[number]) + 1)
-    term, text, pos = (np.array(x, dtype=np.int64) for x in (terms_, texts, at))
-    order = np.lexsort((pos, text, term))
-    return term[order], text[order], pos[order]
-
-
-def intersect(index: tuple[np.ndarray, np.ndarray, np.ndarray], places: Places, need: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(text, passage, least and largest adjusted position) of the bins of
-    adjusted positions that at least ``need`` of the passage's windows hit.
-
-    The lists of all anchors are brought together after subtracting the terms'
-    offsets. Each adjusted position falls into two overlapping bins, so that
-    hits next to each other meet in one.
-    """
-    term, text, pos = index
-    if not len(term):
-        return
-    times = places.start[term + 1] - places.start[term]
-    first = np.repeat(places.start[term] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-    row, q, off = np.repeat(text, times), places.passage[first], places.offset[first]
-    diagonal = np.repeat(pos, times) - off
-    bins = np.concatenate((np.floor_divide(diagonal, NEAR) * 2, np.floor_divide(diagonal + NEAR // 2, NEAR) * 2 - 1))
-    row, q, off, diagonal = (np.concatenate((x, x)) for x in (row, q, off, diagonal))
-    order = np.lexsort((off, bins, q, row))
-    row, q, bins, off, diagonal = (x[order] for x in (row, q, bins, off, diagonal))
-    fresh = np.ones(len(row), dtype=bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (q[1:] != q[:-1]) | (bins[1:] != bins[:-1])
-    begin = np.flatnonzero(fresh)
-    new_offset = fresh.copy()
-    new_offset[1:] |= off[1:] != off[:-1]
-    hit = np.add.reduceat(new_offset.astype(np.int64), begin)
-    low, high = np.minimum.reduceat(diagonal, begin), np.maximum.reduceat(diagonal, begin)
-    for k in np.flatnonzero(hit >= need[q[begin]]):
-        yield int(row[begin[k]]), int(q[begin[k]]), int(low[k]), int(high[k])
-
-
-def find_leaks(docs: DataFrame, key: str, text: str, tests: DataFrame, item: str, passage: str, least: float = LEAST) -> DataFrame:
+            forms = [compared(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string()), pa.array([is_wide(f) for f in forms], pa.bool_())], names=["item", "passage", "wide"])
+
+    rows = tests.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).alias("item"), F.col(passage).cast("string").alias("passage")).distinct()
+    kind = tests.schema[item].dataType.simpleString()
+    forms = rows.mapInArrow(work, f"item {kind}, passage string, wide boolean").where("passage <> ''").distinct()
+    return cut_lineage(forms.withColumn("q", F.xxhash64("item", "passage")).withColumn("n_letters", F.char_length("passage")))
+
+
+def _rarest(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, q, off, need: of every part of each passage the term that the
+    index has least often, and at least once; and how many of them a text must
+    hold. Ties go to the first."""
+    terms = cut_lineage(_postings(asked.select("q", "passage"), 1))
+    distinct = terms.select("term").distinct()
+    there = index.join(F.broadcast(distinct) if terms.count() <= HELD else distinct, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    part = F.floor(F.col("pos") / F.when(F.col("short"), PART[True]).otherwise(PART[False]))
+    nth = F.row_number().over(Window.partitionBy("q", "short", part).orderBy("n", "pos"))
+    rare = terms.join(there, "term").withColumn("nth", nth).where("nth = 1").select("term", "q", F.col("pos").alias("off"))
+    parts = terms.groupBy("q").agg(F.count_distinct("short", part).alias("parts"))
+    return rare.join(parts, "q")
+
+
+def _short(asked: DataFrame) -> F.Column:
+    """Passages whose least stretch can be shorter than a term and a window."""
+    return F.col("n_letters") * LEAST < F.when(F.col("wide"), SIZES[True][0] + SIZES[True][1] - 1).otherwise(SIZES[False][0] + SIZES[False][1] - 1)
+
+
+def find_leaks(docs: DataFrame, key: str, text: str, tests: DataFrame, item: str, passage: str, least: float = LEAST, index: DataFrame | None = None) -> DataFrame:
     """Documents that hold a test passage: key, item, share; distinct pairs.
 
     ``share`` is the part of the passage's letters and digits that stands in
-    one stretch, see :func:`stretch`; rows have share >= ``least``. Tests are
-    the query set and small: their terms are held by the driver and every
-    task; the corpus may have any size. Null, empty and letterless passages or
-    texts are in no pair. A key that repeats with several texts is judged for
-    each and named once. Extra columns are not looked at.
-
-    Plan: one pass counts the test terms over all texts. The next indexes the
-    texts: the index is cut by documents, each Arrow batch is a shard that
-    stores its postings, intersects them for all passages, and checks what is
-    left in its own texts. So postings and texts are not shuffled; only the
-    pairs found are, to make them distinct.
+    one stretch, see :func:`stretch`; rows have share >= ``least``. Null, empty
+    and letterless passages or texts are in no pair. A key that repeats with
+    several texts is judged for each and named once. Extra columns are not
+    looked at. ``index`` is the one of ``docs``, see :func:`build_index`; it
+    is built if none is given.
+
+    Plan: the index is read for how often it has the test terms, and for the
+    postings of the rarest of each part. A document and a passage meet if
+    enough parts have a posting there; the texts of these pairs only are
+    joined and checked. Test terms are broadcast up to HELD, beyond that
+    joined; nothing else is held by a task, and nothing by the driver.
+    Passages too short to be sure of a stored term are looked for in all texts
+    by their terms of all positions, in one more narrow pass.
     """
     spark = docs.sparkSession
-    rows = tests.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).alias("item"), F.col(passage).alias("passage")).distinct().collect()
-    tested = [(r["item"], f) for r in rows if (f := compared(r["passage"]))]
-    kind = tests.schema[item].dataType.simpleString()
-    key_kind = docs.schema[key].dataType.simpleString()
-    result = f"key {key_kind}, item {kind}, share double"
-    if not tested:
-        return spark.createDataFrame([], result)
-    names = sorted({t for _, f in tested for t in terms(f)})
-    counts = {r["term"]: r["n"] for r in term_counts(docs, text, names).collect()}  # bounded by the test terms
-    shared = spark.sparkContext.broadcast(([(i, f, is_wide(f)) for i, f in tested], Places([f for _, f in tested], counts)))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, places = shared.value
-        automaton = _automaton(places.names)
-        need = np.maximum(1, (places.windows * least * LEAST_HIT).astype(np.int64))
+    kinds = f"key {docs.schema[key].dataType.simpleString()}, item {tests.schema[item].dataType.simpleString()}, share double"
+    asked = _asked(tests, item, passage)
+    index = build_index(docs, key, text) if index is None else index
+    rare = cut_lineage(_rarest(index, asked))
+    held = F.broadcast(rare) if rare.count() <= HELD else rare
+    # which parts a text holds, and where it would have the passage begin
+    hits = index.join(held, "term").groupBy("key", "text_key", "q", "off", "parts").agg(F.min(F.col("pos") - F.col("off")).alias("low"), F.max(F.col("pos") - F.col("off")).alias("high"))
+    pairs = hits.groupBy("key", "text_key", "q").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = cut_lineage(pairs.where(F.col("n") >= F.greatest(F.lit(1.0), F.col("parts") * least * LEAST_HIT)).select("key", "text_key", "q", "low", "high"))
+    given = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("text"))
+    texts = given.join(pairs, ["key", "text_key"]).join(asked.select("q", "item", "passage", "wide"), "q").select("key", "item", "text", "passage", "wide", "low", "high")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [compared(t) for t in batch.column(1).to_pylist()]
-            best: dict[tuple[int, int], float] = {}
-            for row, q, low, high in intersect(postings(forms, places, automaton), places, need):
-                _, f, wide = own[q]
-                if best.get((row, q), 0.0) < 1.0:
-                    share = stretch(f, forms[row][max(0, low - NEAR) : max(0, high) + len(f) + NEAR], wide) / len(f)
-                    best[row, q] = max(best.get((row, q), 0.0), share)
-            found = [(row, q, s) for (row, q), s in best.items() if s >= least]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _, _ in found], pa.int64())), pa.array([own[q][0] for _, q, _ in found]).cast(item_type), pa.array([s for _, _, s in found], pa.float64())], names=["key", "item", "share"])
-
-    item_type = to_arrow_type(tests.schema[item].dataType)
-    given = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(search, result).groupBy("key", "item").agg(F.max("share").alias("share"))
+            form: dict[str, str] = {}
+            shares = []
+            for t, p, wide, low, high in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
+                if t not in form:
+                    form = {t: compared(t)}  # pairs of one text mostly come together
+                around = SIZES[wide][3] + len(p)
+                shares.append(stretch(p, form[t][max(0, low - around) : high + len(p) + around], wide) / len(p))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["key", "item", "share"])
+
+    found = texts.mapInArrow(check, kinds)
+    short = asked.where(_short(asked))
+    if not short.isEmpty():
+        found = found.unionByName(_scanned(given.select("key", "text"), short, kinds))
+    return found.where(F.col("share") >= least).groupBy("key", "item").agg(F.max("share").alias("share"))
+
+
+#: Short passages that one pass over the texts looks for.
+SHORT_ROWS = 50_000
+
+
+def _scanned(given: DataFrame, short: DataFrame, kinds: str) -> DataFrame:
+    """Pairs of all texts with short passages, which are dealt over passes."""
+    spark = given.sparkSession
+    passes = max(1, -(-short.count() // SHORT_ROWS))
+    numbered = cut_lineage(short.withColumn("pass", F.pmod("q", F.lit(passes))))
+    out = None
+    for n in range(passes):
+        shared = spark.sparkContext.broadcast([(r["item"], r["passage"], r["wide"]) for r in numbered.where(F.col("pass") == n).collect()])  # about SHORT_ROWS
+        found = given.mapInArrow(_looker(shared, to_arrow_type(short.schema["item"].dataType)), kinds)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _looker(shared, item_type: pa.DataType):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        own = shared.value
+        where: dict[str, list[int]] = {}
+        for q, (_, p, wide) in enumerate(own):
+            block = min(SIZES[wide][2], len(p))
+            for i in range(len(p) - block + 1):
+                where.setdefault(p[i : i + block], []).append(q)
+        automaton = ahocorasick.Automaton()
+        for block, qs in where.items():
+            automaton.add_word(block, qs)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, items, shares = [], [], []
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                form = compared(t)
+                for q in sorted({q for _, qs in automaton.iter(form) for q in qs}):
+                    rows.append(row)
+                    items.append(own[q][0])
+                    shares.append(stretch(own[q][1], form, own[q][2]) / len(own[q][1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, item_type), pa.array(shares, pa.float64())], names=["key", "item", "share"])
+
+    return work
