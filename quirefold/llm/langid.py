@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -93,43 +95,118 @@ class SuffixAutomaton:
             last = new
         self.steps = steps
 
-    def phrases(self, text: str, most: float = float("inf")) -> int:
+    def phrases(self, text: str) -> int:
         """Longest-match phrases that ``text`` is cut into; a character that
-        doesn't occur is one. Stops counting beyond ``most``."""
+        doesn't occur is one."""
+        n, now = self.go_on(text, 1, 0)
+        return n - (now == 0 and n > 1)
+
+    def go_on(self, text: str, n: int, now: int) -> tuple[int, int]:
+        """The count and the state after parsing on from a count and a state."""
         steps = self.steps
         root = steps[0]
-        n = 1
-        now = root
         for c in text:
-            to = now.get(c)
+            to = steps[now].get(c)
             if to is None:
-                if now is not root:
+                if now:
                     n += 1
-                    if n > most:
-                        return n
                 to = root.get(c)
                 if to is None:
-                    now = root
+                    now = 0
                     n += 1
                     continue
-            now = steps[to]
-        return n - (now is root and n > 1)
-
-
-def score(plain: str, models: dict[str, SuffixAutomaton], first: str | None = None) -> tuple[str, float]:
-    """The language that needs the fewest phrases, and a confidence: 1 - its
-    phrases over those of the runner-up, at most 0.5, as a parse is given up
-    at twice the least number. Ties go to ``first``, a language tried before
-    the others, then to the order of the models."""
-    order = models if first is None else [first, *(k for k in models if k != first)]
-    best, second, who = 10**9, 10**9, ""
-    for lang in order:
-        n = models[lang].phrases(plain, min(second, 2 * best))
-        if n < best:
-            best, second, who = n, best, lang
-        elif n < second:
-            second = n
-    return who, 1 - best / min(second, 2 * best) if len(models) > 1 else 1.0
+            now = to
+        return n, now
+
+
+class Parser:
+    """The suffix automata of several languages, as arrays: many texts are
+    parsed at once, all by one step at a time."""
+
+    #: Texts below which the rest is parsed one by one.
+    FEW = 48
+    _SALT = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, models: dict[str, SuffixAutomaton]):
+        self.models = list(models.values())
+        letters = sorted({c for m in self.models for step in m.steps for c in step})
+        self.code = np.zeros(sys.maxunicode + 1, dtype=np.int64)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        self.tables = [self._table(m) for m in self.models]
+
+    def _table(self, model: SuffixAutomaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+        """The transitions as a hash table with open addressing: keys (state
+        and letter), where they lead; and those of the root by letter."""
+        keys = np.array([at * self.width + int(self.code[ord(c)]) for at, step in enumerate(model.steps) for c in step], dtype=np.int64)
+        to = np.array([x for step in model.steps for x in step.values()], dtype=np.int32)
+        bits = max(4, int(4 * len(keys)).bit_length())
+        shift = np.uint64(64 - bits)
+        held, lead = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+        slot, rest = self._slot(keys, shift), np.arange(len(keys))
+        while len(rest):
+            free = rest[held[slot[rest]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            held[slot[put]], lead[slot[put]] = keys[put], to[put]
+            left = np.ones(len(keys), dtype=bool)
+            left[put] = False
+            rest = rest[left[rest]]
+            slot[rest] = (slot[rest] + 1) & (len(held) - 1)
+        root = np.zeros(self.width, dtype=np.int32)  # 0, the root itself: the letter doesn't occur
+        for c, x in model.steps[0].items():
+            root[self.code[ord(c)]] = x
+        return held, lead, root, shift
+
+    def _slot(self, keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self._SALT) >> shift).astype(np.int64)
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """Longest-match phrases of each text (rows) with each model (columns),
+        as :meth:`SuffixAutomaton.phrases` counts them."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-sizes, kind="stable")
+        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        begin = (np.cumsum(sizes) - sizes)[order]
+        going = len(texts) - np.searchsorted(np.sort(sizes), np.arange(int(sizes.max(initial=0)) + 1), side="right")  # texts longer than so many letters
+        out = np.empty((len(texts), len(self.models)), dtype=np.int64)
+        for k, model in enumerate(self.models):
+            held, lead, root, shift = self.tables[k]
+            mask = len(held) - 1
+            n, now = np.ones(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+            t = 0
+            while t < len(going) - 1 and going[t] >= self.FEW:
+                m = going[t]
+                c = codes[begin[:m] + t]
+                state = now[:m]
+                key = state * self.width + c
+                slot = self._slot(key, shift)
+                there = held[slot]
+                hit = there == key
+                open_ = np.flatnonzero(~hit & (there >= 0))
+                while len(open_):  # collisions
+                    slot[open_] = (slot[open_] + 1) & mask
+                    there = held[slot[open_]]
+                    hit[open_] = same = there == key[open_]
+                    open_ = open_[~same & (there >= 0)]
+                to = np.where(hit, lead[slot], root[c])
+                # the phrase ends; a letter that doesn't occur is one of its own
+                n[:m] += (~hit & (state != 0)) + (to == 0).astype(np.int64)
+                now[:m] = to
+                t += 1
+            for i in range(going[t] if t < len(going) else 0):
+                n[i], now[i] = model.go_on(texts[order[i]][t:], int(n[i]), int(now[i]))
+            out[order, k] = n - ((now == 0) & (n > 1))
+        return out
+
+
+def best(counts: list[int], first: int | None = None) -> tuple[int, float]:
+    """The place of the least number of phrases, and a confidence: 1 - it over
+    that of the runner-up. Ties go to ``first``, else to the first."""
+    least = min(counts)
+    who = first if first is not None and counts[first] == least else counts.index(least)
+    rest = [n for k, n in enumerate(counts) if k != who]
+    return who, 1 - least / min(rest) if rest else 1.0
 
 
 def train(sample: dict[str, list[str]], chars: int = SAMPLE_CHARS, folds: int = 3, rounds: int = 3) -> dict[str, str]:
@@ -144,12 +221,11 @@ def train(sample: dict[str, list[str]], chars: int = SAMPLE_CHARS, folds: int =
         kept: dict[str, list[tuple[int, str]]] = {k: [] for k in rows}
         for fold in range(folds):
             models = {k: SuffixAutomaton(_joined([p for i, p in v if i % folds != fold], chars // 2)) for k, v in rows.items() if v}
-            for k, v in rows.items():
-                for i, p in v:
-                    if i % folds == fold:
-                        n = models[k].phrases(p)
-                        if all(models[o].phrases(p, 2 * n) * 0.9 > n for o in models if o != k):
-                            kept[k].append((i, p))
+            asked = [(k, i, p) for k, v in rows.items() for i, p in v if i % folds == fold]
+            for (k, i, p), counts in zip(asked, Parser(models).phrases([p for _, _, p in asked]).tolist(), strict=True):
+                n = dict(zip(models, counts, strict=True))
+                if all(n[o] * 0.9 > n[k] for o in models if o != k):
+                    kept[k].append((i, p))
         rows = {k: v or rows[k] for k, v in kept.items()}
     return {k: _joined([p for _, p in rows[k]], chars) for k in LANGUAGES if rows.get(k)}
 
@@ -165,8 +241,8 @@ def _joined(rows: list[str], chars: int) -> str:
 
 
 @lru_cache(maxsize=2)
-def _models(texts: tuple[tuple[str, str], ...]) -> dict[str, SuffixAutomaton]:
-    return {k: SuffixAutomaton(t) for k, t in texts}
+def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
+    return Parser({k: SuffixAutomaton(t) for k, t in texts})
 
 
 def labelled_sample(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
@@ -197,25 +273,30 @@ def labelled_sample(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROW
     return out
 
 
-def segments(text: str, models: dict[str, SuffixAutomaton]) -> list[tuple[int, int, str, float]]:
-    """(start, end, language, confidence) of the maximal runs of whole
-    sentences in one language. Sentences that are too short, or that no
+def segments(texts: list[str], parser: Parser, langs: list[str]) -> list[list[tuple[int, int, str, float]]]:
+    """Of each text (start, end, language, confidence) of the maximal runs of
+    whole sentences in one language. Sentences that are too short, or that no
     language fits clearly better than the others, go with the one before, else
-    with the one after; no segment is left if all are such."""
+    with the one after; no segment is left if all are such. ``langs`` names
+    the parser's models."""
+    cut = [[(a, b, plain_text(t[a:b])) for a, b in sentences(t)] for t in texts]
+    asked = sorted({p for c in cut for _, _, p in c if p and not too_short(p)})  # equal sentences are parsed once
+    counts = dict(zip(asked, parser.phrases(asked).tolist(), strict=True))
+    return [_runs(c, counts, langs) for c in cut]
+
+
+def _runs(cut: list[tuple[int, int, str]], counts: dict[str, list[int]], langs: list[str]) -> list[tuple[int, int, str, float]]:
     parts: list[list] = []
     last = None
-    for a, b in sentences(text):
-        plain = plain_text(text[a:b])
+    for a, b, plain in cut:
         if not plain:
             if parts:
                 parts[-1][1] = b
-            continue
-        if too_short(plain):
+        elif plain not in counts:
             parts.append([a, b, None, 0.0, len(plain)])
         else:
-            lang, sure = score(plain, models, last)
-            last = lang
-            parts.append([a, b, lang if sure >= UNSURE or len(models) == 1 else None, sure, len(plain)])
+            last, sure = best(counts[plain], last)
+            parts.append([a, b, langs[last] if sure >= UNSURE or len(langs) == 1 else None, sure, len(plain)])
     known = [p[2] for p in parts if p[2]]
     if not known:
         return []
@@ -253,11 +334,12 @@ def identify(df: DataFrame, text: str, label: str, keep: list[str], sample: Data
     given = df.select(*keep, F.col(label).cast("string").alias("__label"), F.col(text).cast("string").alias("__text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = _models(shared.value)
+        parser, langs = _parser(shared.value), [k for k, _ in shared.value]
         for batch in batches:
             labels, values = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
             letters = [bool(t) and any(c.isalpha() for c in t) for t in values]
-            rows = [[{"start_pos": a, "end_pos": b, "lang": k, "confidence": s} for a, b, k, s in segments(t, models)] if ok and models else [] for t, ok in zip(values, letters, strict=True)]
+            found = iter(segments([t for t, ok in zip(values, letters, strict=True) if ok], parser, langs) if langs else ())
+            rows = [[{"start_pos": a, "end_pos": b, "lang": k, "confidence": s} for a, b, k, s in next(found)] if ok and langs else [] for ok in letters]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-2], pa.array([plain_tag(x) for x in labels], pa.string()), pa.array(letters), pa.array(rows, _SEGMENTS)],
                 names=[*batch.schema.names[:-2], "label_lang", "has_letters", "segments"],

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quirefold.llm.langid import LANGUAGES, SuffixAutomaton, identify, plain_tag, segments, train
+from quirefold.llm.langid import LANGUAGES, Parser, SuffixAutomaton, best, identify, plain_tag, segments, train
 
 
 @settings(max_examples=200, deadline=None)
@@ -20,6 +20,21 @@ def test_phrases_are_longest_matches(text, query):
     assert SuffixAutomaton(text).phrases(query) == max(n, 1)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abc é", max_size=30), min_size=1, max_size=3), st.lists(st.text(alphabet="abcdé😀", max_size=25), max_size=120))
+def test_parsing_at_once(texts, queries):
+    models = {str(k): SuffixAutomaton(t) for k, t in enumerate(texts)}
+    for few in (0, 1, 50):
+        parser = Parser(models)
+        parser.FEW = few
+        assert parser.phrases(queries).tolist() == [[m.phrases(q) for m in models.values()] for q in queries]
+
+
+def test_best():
+    assert best([4, 2, 8]) == (1, 0.5) and best([2, 2, 3], 1) == (1, 0.0) and best([2, 2, 3], 2) == (0, 0.0) and best([3]) == (0, 1.0)
+    assert best([1, 10])[1] == 0.9  # not cut off
+
+
 def test_tags():
     assert [plain_tag(x) for x in ("ZH-cn", "zho", "en_gb", "ger", "nl", "und", " ", "", None)] == ["zh-CN", "zh-CN", "en", "de", "nl", None, None, None, None]
 
@@ -38,10 +53,10 @@ def test_held_out_accuracy(labelled):
         if plain_tag(tag) in LANGUAGES and len(text) > 40:
             sample.setdefault(plain_tag(tag), []).append(text)
     models = {k: SuffixAutomaton(t) for k, t in train({k: v[:200] for k, v in sample.items()}).items()}
+    parser = Parser(models)
     assert set(models) >= {"zh-CN", "ja", "en", "de", "es", "ru", "ko"}
     right = n = 0
-    for tag, text in labelled[half:]:
-        found = segments(text, models)
+    for (tag, _), found in zip(labelled[half:], segments([t for _, t in labelled[half:]], parser, list(models)), strict=True):
         if plain_tag(tag) in models and len(found) == 1:
             n += 1
             right += found[0][2] == plain_tag(tag)
