@@ -39,8 +39,11 @@ PART = {False: 16, True: 8}
 LEAST = 0.5
 #: Share of a stretch that changed words and marks may take.
 MOST_CHANGED = 0.38
-#: Share of the parts of a least stretch of which a text has to hold a term to be checked.
-LEAST_HIT = 0.1
+#: Share of the parts of a least stretch of which a text has to hold a term,
+#: one after another, to be checked; and how far apart they may stand: a gap
+#: and the terms, windows and parts on both sides.
+LEAST_HIT = 0.2
+REACH = 40 + 2 * (12 + 8 + 16)
 #: Texts whose terms are computed at once.
 TEXTS = 256
 #: Terms of a test set that are broadcast; more are joined.
@@ -253,9 +256,9 @@ def find_leaks(docs: DataFrame, key: str, text: str, tests: DataFrame, item: str
     is built if none is given.
 
     Plan: the index is read for how often it has the test terms, and for the
-    postings of the rarest of each part. A document and a passage meet if
-    enough parts have a posting there; the texts of these pairs only are
-    joined and checked. Test terms are broadcast up to HELD, beyond that
+    postings of the rarest of each part. A document and a passage meet where
+    enough parts have postings one after another; the texts of these pairs
+    only are joined and checked. Test terms are broadcast up to HELD, beyond that
     joined; nothing else is held by a task, and nothing by the driver.
     Passages too short to be sure of a stored term are looked for in all texts
     by their terms of all positions, in one more narrow pass.
@@ -266,10 +269,13 @@ def find_leaks(docs: DataFrame, key: str, text: str, tests: DataFrame, item: str
     index = build_index(docs, key, text) if index is None else index
     rare = cut_lineage(_rarest(index, asked))
     held = F.broadcast(rare) if rare.count() <= HELD else rare
-    # which parts a text holds, and where it would have the passage begin
-    hits = index.join(held, "term").groupBy("key", "text_key", "q", "off", "parts").agg(F.min(F.col("pos") - F.col("off")).alias("low"), F.max(F.col("pos") - F.col("off")).alias("high"))
-    pairs = hits.groupBy("key", "text_key", "q").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
-    pairs = cut_lineage(pairs.where(F.col("n") >= F.greatest(F.lit(1.0), F.col("parts") * least * LEAST_HIT)).select("key", "text_key", "q", "low", "high"))
+    # which parts a text holds, in runs of postings that stand close to each other
+    pair = ["key", "text_key", "q"]
+    in_order = Window.partitionBy(*pair).orderBy("pos", "off")
+    hits = index.join(held, "term").select(*pair, "off", "pos", "parts").withColumn("apart", F.col("pos") - F.lag("pos").over(in_order) > REACH)
+    hits = hits.withColumn("run", F.count_if("apart").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = hits.groupBy(*pair, "run").agg(F.size(F.collect_set("off")).alias("n"), F.max("parts").alias("parts"), F.min(F.col("pos") - F.col("off")).alias("low"), F.max(F.col("pos") - F.col("off")).alias("high"))
+    pairs = cut_lineage(runs.where(F.col("n") >= F.greatest(F.lit(1.0), F.col("parts") * least * LEAST_HIT)).select(*pair, "low", "high"))
     given = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("text"))
     texts = given.join(pairs, ["key", "text_key"]).join(asked.select("q", "item", "passage", "wide"), "q").select("key", "item", "text", "passage", "wide", "low", "high")
 
