@@ -33,6 +33,7 @@ CAPTION_KINDS = {
     "diagram": "(?i)^(?:diagram\\b|流程图|示意图|ダイアグラム)",
 }
 SPOKEN = {"因此": "所以", "此外": "另外", "然而": "但"}
+GENERIC_SCOPE = "^(?:贫富差距|社会分层|相关问题|相关情境|一般情况|本章内容)$"
 LEAD_WORDS = "^(?:作者|书中|我们|这一|例如|此外|但是|但|然而)"
 # ---------------------------------------------------------------------------
 
@@ -53,19 +54,45 @@ def let(value: Column, body) -> Column:
 
 
 def half_width(c) -> Column:
-    """Full-width ASCII and the ideographic space in their usual width: what
-    NFKC does to running text, without leaving the JVM."""
-    return F.translate(F.col(c) if isinstance(c, str) else c, _FULL, _HALF)
+    """Full-width ASCII and the ideographic space in their usual width, the
+    ellipsis as three points."""
+    return F.replace(F.translate(F.col(c) if isinstance(c, str) else c, _FULL, _HALF), F.lit("…"), F.lit("..."))
+
+
+#: Texts of these characters only are changed by NFKC as half_width does; a
+#: shortcut, all others go through the Unicode tables of Python.
+_PLAIN_NFKC = (
+    "(?s)^(?!.*[\\u0e48-\\u0e4b][\\u0e38-\\u0e3a])[\\x00-\\x7f\\u00a1-\\u00a7\\u00a9\\u00ab-\\u00ae\\u00b0\\u00b1\\u00b6\\u00b7\\u00bb\\u00bf-\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e"
+    "\\u0400-\\u0481\\u0e01-\\u0e32\\u0e34-\\u0e3a\\u0e3f-\\u0e5b\\u2010\\u2012-\\u2016\\u2018-\\u2023\\u2026\\u2027\\u3000-\\u3035\\u3041-\\u3096\\u309d\\u309e\\u30a1-\\u30fe\\u4e00-\\u9fff\\uac00-\\ud7a3\\uff01-\\uff5e]*$"
+)
+
+
+def compatible(c) -> Column:
+    """NFKC: in the JVM for texts of common characters, in Python for others,
+    which alone are sent there."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(nfkc(F.when(~c.rlike(_PLAIN_NFKC), c)), half_width(c))
 
 
 def normalize(c) -> Column:
-    """Lower case without white space, punctuation and symbols."""
-    return F.regexp_replace(F.lower(half_width(c)), "(?U)[\\s\\p{P}\\p{S}]", "")
+    """NFKC in lower case without white space, punctuation and symbols."""
+    return F.regexp_replace(F.lower(compatible(c)), "(?U)[\\s\\p{P}\\p{S}]", "")
 
 
 def numeric_tokens(c) -> Column:
     """The numbers of a text in order, with decimals and percent signs."""
-    return F.regexp_extract_all(half_width(c), F.lit("([0-9]+(?:\\.[0-9]+)?%?)"), F.lit(1))
+    return F.regexp_extract_all(compatible(c), F.lit("([0-9]+(?:\\.[0-9]+)?%?)"), F.lit(1))
+
+
+def words_and_numbers(c) -> Column:
+    """Latin words of three letters or more, and numbers, in lower case."""
+    return F.regexp_extract_all(F.lower(compatible(c)), F.lit("([a-z]{3,}|[0-9]+(?:\\.[0-9]+)?%?)"), F.lit(1))
+
+
+def features(c) -> Column:
+    """What a statement and its evidence are compared by: the pairs of
+    characters of the normal form, and words and numbers."""
+    return F.array_union(bigrams(normalize(c)), words_and_numbers(c))
 
 
 def bigrams(normal) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,30 @@ from pyspark.sql import functions as F
 VIOLATION = ("code", "artifact", "item", "detail")
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A declared rule: how grave a violation is (BLOCK, WARN, INFO), whether
+    it blocks what follows, and what is to be done again."""
+
+    code: str
+    severity: str
+    blocking: bool
+    retry: str
+
+
+def described(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Violations with severity, blocking and retry_strategy of their rules;
+    codes without a rule get nulls. The rules are constants of the plan."""
+
+    def of(name: str) -> Column:
+        out = F.lit(None)
+        for r in rules:
+            out = F.when(F.col("code") == r.code, F.lit(getattr(r, name))).otherwise(out)
+        return out
+
+    return df.select("*", of("severity").alias("severity"), of("blocking").alias("blocking"), of("retry").alias("retry_strategy"))
+
+
 def violations(df: DataFrame, code: str, artifact: str, item, detail=None) -> DataFrame:
     """Rows of ``df`` as violations."""
     return df.select(

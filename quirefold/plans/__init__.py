@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirefold.plans import data_care, relations, texts, timelines
+from quirefold.plans import calibration, data_care, graph, relations, texts, timelines
 
-_MODULES = (data_care, texts, relations, timelines)
+_MODULES = (data_care, texts, relations, graph, calibration, timelines)
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions import timeline as G
-from quirefold.operators import cache, ranking, rules, windows
+from quirefold.operators import ranking, rules, windows
 from quirefold.session import table
 
 
@@ -31,8 +31,14 @@ def block_outside_chapter(spark, sf):
     excludes the second."""
     b, c = _blocks(spark, sf).where("chapter_id is not null"), _chapters(spark, sf).select("book_id", "chapter_id", "start_page", "end_page")
     j = b.select("book_id", "block_id", "chapter_id", "page").distinct().join(c, ["book_id", "chapter_id"], "left")
-    code = F.when(F.col("start_page").isNull(), "UNKNOWN_CHAPTER").when(~F.col("page").between(F.col("start_page"), F.col("end_page")), "OUTSIDE_CHAPTER")
-    return rules.violations(j.withColumn("code", code).where("code is not null"), "x", "blocks", F.concat_ws("/", "book_id", "block_id"), "page").withColumn("code", F.lit("BLOCK_CHAPTER")).distinct()
+    unknown = F.col("start_page").isNull()
+    item = F.concat_ws("/", "book_id", "block_id")
+    return rules.union_all(
+        [
+            rules.check(j, unknown, "UNKNOWN_CHAPTER", "blocks", item, "page"),
+            rules.check(j, ~unknown & ~F.col("page").between(F.col("start_page"), F.col("end_page")), "OUTSIDE_CHAPTER", "blocks", item, "page"),
+        ]
+    ).distinct()
 
 
 def range_overlap_running_max(spark, sf):
@@ -68,22 +74,6 @@ def missing_refs_anti_join(spark, sf):
     return rules.dangling(refs, table(spark, sf, "blocks"), ["book_id", "block_id"]).select("ref_id", "book_id", "block_id")
 
 
-def ref_graph_violations_union(spark, sf):
-    """Missing ends of all reference kinds as one table of violations."""
-    refs = table(spark, sf, "source_refs").where("ref_type = 'book'").select("ref_id", "book_id", "block_id").distinct()
-    claims, rel = table(spark, sf, "claims"), table(spark, sf, "claim_relations")
-    angles = table(spark, sf, "angles").select("angle_id", F.explode("core_claim_ids").alias("claim_id")).distinct()
-    ends = rel.select("relation_id", F.explode(F.array("from_claim_id", "to_claim_id")).alias("claim_id")).distinct()
-    return rules.union_all(
-        [
-            rules.violations(rules.dangling(refs, table(spark, sf, "blocks"), ["book_id", "block_id"]), "MISSING_BLOCK", "source_refs", "ref_id", "block_id"),
-            rules.violations(rules.dangling(angles, claims, ["claim_id"]), "MISSING_CLAIM", "angles", "angle_id", "claim_id"),
-            rules.violations(rules.dangling(ends, claims, ["claim_id"]), "MISSING_CLAIM", "claim_relations", "relation_id", "claim_id"),
-            rules.violations(rules.dangling(table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).distinct(), table(spark, sf, "part"), ["p_partkey"]), "MISSING_PART", "lineitem", "l_orderkey", "p_partkey"),
-        ]
-    )
-
-
 def full_outer_coverage_diff(spark, sf):
     """Chapters as listed against chapters as the blocks show them."""
     listed = _chapters(spark, sf).groupBy("book_id", "chapter_id").agg(F.min("start_page").alias("first_page"))
@@ -91,21 +81,6 @@ def full_outer_coverage_diff(spark, sf):
     return rules.coverage_difference(listed, seen, ["book_id", "chapter_id"], ["first_page"])
 
 
-def children_all_match(spark, sf):
-    """Orders all of whose items have a quantity of 10 or more."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
-    return rules.all_of(li, ["l_orderkey"], F.col("l_quantity") >= 10)
-
-
-def exact_id_set(spark, sf):
-    """Angles: are all their claims known in their book, and is none named twice."""
-    a = table(spark, sf, "angles").select("book_id", "angle_id", "core_claim_ids").distinct().where("core_claim_ids is not null")
-    c = table(spark, sf, "claims").where("claim_id is not null").groupBy("book_id").agg(F.collect_set("claim_id").alias("ids"))
-    j = a.join(c, "book_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
-    core = F.filter("core_claim_ids", lambda x: x.isNotNull())
-    return j.select("angle_id", rules.covers(F.col("ids"), core).alias("all_known"), rules.same_ids(core, F.array_distinct(core)).alias("no_repeats"), F.size(core).alias("n")).distinct()
-
-
 def dangling_distinct_ids(spark, sf):
     ids = table(spark, sf, "angles").select(F.explode("core_claim_ids").alias("claim_id")).unionByName(table(spark, sf, "claim_relations").select(F.explode(F.array("from_claim_id", "to_claim_id")).alias("claim_id")))
     return rules.dangling(ids.distinct(), table(spark, sf, "claims"), ["claim_id"])
@@ -171,11 +146,6 @@ def distinct_counts(spark, sf):
     return table(spark, sf, "claim_relations").groupBy("book_id").agg(F.count_distinct("relation").alias("relations"), F.count_distinct("from_claim_id").alias("sources"))
 
 
-def top3_per_group(spark, sf):
-    o = table(spark, sf, "orders")
-    return ranking.top_k(o, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
-
-
 def evenly_spaced_sample(spark, sf):
     b = _blocks(spark, sf).where("chapter_id is not null").select("book_id", "chapter_id", "block_id", "page", "ord").distinct()
     return ranking.evenly_spaced(b, ["book_id", "chapter_id"], ["page", "ord", "block_id"], 5).select("book_id", "chapter_id", "block_id", "position")
@@ -213,12 +183,6 @@ def support_bundles(spark, sf):
     return ranking.set_bundles(a, ["angle_id"], "claim_id").select(F.array_join("members", ",").alias("members"), "groups")
 
 
-def rejection_reasons_array(spark, sf):
-    o = table(spark, sf, "orders")
-    reasons = F.filter(F.array(F.when(F.col("o_totalprice") > 200000, "LARGE"), F.when(F.col("o_orderstatus") == "F", "CLOSED"), F.when(F.col("o_orderpriority").startswith("1"), "URGENT")), lambda x: x.isNotNull())
-    return o.withColumn("r", reasons).where(F.size("r") > 0).select("o_orderkey", F.array_join("r", ",").alias("reasons"))
-
-
 def group_status(spark, sf):
     """A book's status by rounded mean confidence: at 75 and 85 of 100."""
     b = _blocks(spark, sf).groupBy("book_id").agg(F.avg("confidence").alias("c"))
@@ -226,44 +190,17 @@ def group_status(spark, sf):
     return b.where("c is not null").select("book_id", score.alias("score"), F.when(score < 75, "low").when(score < 85, "medium").otherwise("high").alias("status"))
 
 
-def content_fingerprint_cache(spark, sf):
-    """Documents against a store of older fingerprints: hit, stale or miss."""
-    d = table(spark, sf, "documents").select("doc_id", cache.fingerprint(F.col("lang"), F.col("text")).alias("input_hash")).distinct()
-    done = table(spark, sf, "documents").where("doc_id % 3 <> 0").select("doc_id", cache.fingerprint(F.col("lang"), F.when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise("")).alias("input_hash"))
-    return cache.reuse(d, done, "doc_id").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-
-
-def claim_enforcement_fixpoint(spark, sf):
-    """Relations and claims pruned in turn: a relation needs both its claims, a
-    claim with relations keeps one at least; three rounds at most."""
-    rel = table(spark, sf, "claim_relations").select("relation_id", "from_claim_id", "to_claim_id").where("from_claim_id is not null and to_claim_id is not null").distinct()
-    alive = table(spark, sf, "claims").where("deleted_at is null").select("claim_id").distinct()
-    tied = rel.select(F.explode(F.array("from_claim_id", "to_claim_id")).alias("claim_id")).distinct()
-    for _ in range(3):
-        rel = rel.join(alive.select(F.col("claim_id").alias("from_claim_id")), "from_claim_id", "left_semi").join(alive.select(F.col("claim_id").alias("to_claim_id")), "to_claim_id", "left_semi")
-        now = rel.select(F.explode(F.array("from_claim_id", "to_claim_id")).alias("claim_id")).distinct()
-        lost = tied.join(now, "claim_id", "left_anti")
-        alive = alive.join(lost, "claim_id", "left_anti")
-    return rel.join(alive.select(F.col("claim_id").alias("from_claim_id")), "from_claim_id", "left_semi").select("relation_id", "from_claim_id", "to_claim_id")
-
-
 _CH = "(select distinct book_id, chapter_id, title, start_page, end_page, ord from chapters)"
 _B = "(select distinct book_id, block_id, page, chapter_id, block_type, language, confidence, ord, pdf_kind, original_text from blocks)"
 _ENDS = "(select distinct relation_id, unnest([from_claim_id, to_claim_id]) as claim_id from claim_relations)"
 _ANG = "(select distinct angle_id, unnest(core_claim_ids) as claim_id from angles)"
 
 
-def _alive(i: int) -> str:
-    """One round of the fixpoint in SQL."""
-    return f"""r{i} as (select * from r{i - 1} where from_claim_id in (select claim_id from a{i - 1}) and to_claim_id in (select claim_id from a{i - 1})),
-a{i} as (select claim_id from a{i - 1} where claim_id not in (select claim_id from tied where claim_id not in (select unnest([from_claim_id, to_claim_id]) from r{i})))"""
-
-
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_")}
 SQL = {
     "page_to_chapter_range_join": f"""select p.book_id, p.page, max(case when p.page <= c.end_page then c.chapter_id end) as found from (select distinct book_id, page from blocks where page is not null) p
 left join lateral (select chapter_id, end_page from (select book_id, start_page, max(end_page) as end_page, min(chapter_id) as chapter_id from {_CH} group by all) c where c.book_id = p.book_id and c.start_page <= p.page order by start_page desc limit 1) c on true group by all""",
-    "block_outside_chapter": f"""select distinct 'BLOCK_CHAPTER' as code, 'blocks' as artifact, b.book_id || '/' || b.block_id as item, coalesce(cast(b.page as varchar), '') as detail from {_B} b left join {_CH} c using (book_id, chapter_id)
+    "block_outside_chapter": f"""select distinct case when c.start_page is null then 'UNKNOWN_CHAPTER' else 'OUTSIDE_CHAPTER' end as code, 'blocks' as artifact, b.book_id || '/' || b.block_id as item, coalesce(cast(b.page as varchar), '') as detail from {_B} b left join {_CH} c using (book_id, chapter_id)
 where b.chapter_id is not null and (c.start_page is null or b.page not between c.start_page and c.end_page)""",
     "chapter_ranges_lead": f"""select book_id, chapter_id, start_page, coalesce(lead(start_page) over (partition by book_id order by start_page) - 1, end_page) as range_end
 from (select book_id, start_page, min(chapter_id) as chapter_id, max(end_page) as end_page from {_CH} group by all)""",
@@ -272,18 +209,9 @@ from (select book_id, start_page, min(chapter_id) as chapter_id, max(end_page) a
     "id_prefix_check": """select distinct 'ID_PREFIX' as code, 'blocks' as artifact, book_id || '/' || block_id as item, cast(page as varchar) as detail from blocks where not starts_with(block_id, 'p' || page || '-')
 union all select distinct 'PAGE_RANGE', 'blocks', book_id || '/' || block_id, cast(page as varchar) from blocks where page < 1""",
     "missing_refs_anti_join": "select distinct ref_id, book_id, block_id from source_refs r where ref_type = 'book' and block_id is not null and not exists (select 1 from blocks b where b.book_id = r.book_id and b.block_id = r.block_id)",
-    "ref_graph_violations_union": f"""select 'MISSING_BLOCK' as code, 'source_refs' as artifact, cast(ref_id as varchar) as item, block_id as detail from (select distinct ref_id, book_id, block_id from source_refs where ref_type = 'book' and block_id is not null) r
-where not exists (select 1 from blocks b where b.book_id = r.book_id and b.block_id = r.block_id)
-union all select 'MISSING_CLAIM', 'angles', angle_id, claim_id from {_ANG} where claim_id is not null and claim_id not in (select claim_id from claims where claim_id is not null)
-union all select 'MISSING_CLAIM', 'claim_relations', cast(relation_id as varchar), claim_id from {_ENDS} where claim_id is not null and claim_id not in (select claim_id from claims where claim_id is not null)
-union all select 'MISSING_PART', 'lineitem', cast(l_orderkey as varchar), cast(l_partkey as varchar) from (select distinct l_orderkey, l_partkey from lineitem) where l_partkey not in (select p_partkey from part)""",
     "full_outer_coverage_diff": f"""with l as (select book_id, chapter_id, min(start_page) as p from {_CH} group by all), s as (select book_id, chapter_id, min(page) as p from blocks where chapter_id is not null group by all)
 select book_id, chapter_id, state from (select coalesce(l.book_id, s.book_id) as book_id, coalesce(l.chapter_id, s.chapter_id) as chapter_id,
 case when s.book_id is null then 'only_left' when l.book_id is null then 'only_right' when l.p is distinct from s.p then 'differs' end as state from l full outer join s on l.book_id = s.book_id and l.chapter_id = s.chapter_id) where state is not null""",
-    "children_all_match": "select l_orderkey from lineitem group by 1 having bool_and(l_quantity >= 10)",
-    "exact_id_set": """with a as (select distinct book_id, angle_id, list_filter(core_claim_ids, lambda x: x is not null) as ids from angles where core_claim_ids is not null),
-c as (select book_id, list(distinct claim_id) as known from claims where claim_id is not null group by 1)
-select distinct angle_id, len(list_filter(ids, lambda x: not list_contains(coalesce(known, []), x))) = 0 as all_known, len(ids) = len(list_distinct(ids)) as no_repeats, len(ids) as n from a left join c using (book_id)""",
     "dangling_distinct_ids": f"select distinct claim_id from (select claim_id from {_ANG} union all select claim_id from {_ENDS}) where claim_id is not null and claim_id not in (select claim_id from claims where claim_id is not null)",
     "dominant_language_first_seen": rf"""with b as (select book_id, page, ord, block_id, case when regexp_matches(original_text, '[\x{{3040}}-\x{{30ff}}]') then 'ja' when regexp_matches(original_text, '\p{{Han}}') then 'zh-CN' when regexp_matches(original_text, '\p{{Latin}}') then 'en' else 'und' end as lang from blocks where original_text is not null),
 f as (select book_id, lang, min({{'page': page, 'ord': ord, 'id': block_id}}) as p from b where lang <> 'und' group by all)
@@ -301,7 +229,6 @@ select book_id, caption_id, block_id, round(d, 6) as distance from d where d <=
     "page_list_note": """select book_id, owner_id, case when len(p) <= 4 then array_to_string(p, '、') else p[1] || '—' || p[len(p)] || '（共' || len(p) || '页）' end as note
 from (select book_id, owner_id, list_sort(list(distinct page)) as p from source_refs where page is not null group by all)""",
     "distinct_counts": "select book_id, count(distinct relation) as relations, count(distinct from_claim_id) as sources from claim_relations group by 1",
-    "top3_per_group": "select o_custkey, o_orderkey, rank from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3",
     "evenly_spaced_sample": """with b as (select distinct book_id, chapter_id, block_id, page, ord from blocks where chapter_id is not null),
 r as (select *, row_number() over (partition by book_id, chapter_id order by page, ord, block_id) - 1 as position, count(*) over (partition by book_id, chapter_id) as n from b),
 w as (select book_id, chapter_id, cast(floor(i * (n - 1) / 4.0 + 0.5) as bigint) as position from (select distinct book_id, chapter_id, n from r where n > 5), range(5) t(i))
@@ -313,14 +240,7 @@ select book_id, chapter_id, block_id, position from r where n <= 5 union all sel
     + ")) + 1e-9 + 0.5) as int) as score from angles",
     "last_value_first_position": "select user_id, event_type, arg_min(event_id, {'t': ts, 'e': event_id}) as first_event, arg_max(event_id, {'t': ts, 'e': event_id}) as last_event from events group by all",
     "support_bundles": "select members, count(*) as groups from (select angle_id, array_to_string(list_sort(list(distinct claim_id)), ',') as members, count(distinct claim_id) as n from (select angle_id, unnest(core_claim_ids) as claim_id from angles) where claim_id is not null group by 1) where n >= 2 group by 1",
-    "rejection_reasons_array": """select o_orderkey, array_to_string(r, ',') as reasons from (select o_orderkey, list_filter([case when o_totalprice > 200000 then 'LARGE' end, case when o_orderstatus = 'F' then 'CLOSED' end, case when starts_with(o_orderpriority, '1') then 'URGENT' end], lambda x: x is not null) as r from orders) where len(r) > 0""",
     "group_status": f"""select book_id, s as score, case when s < 75 then 'low' when s < 85 then 'medium' else 'high' end as status from (select book_id, cast(floor(avg(confidence) * 100 + 1e-9 + 0.5) as int) as s from {_B} group by 1) where s is not null""",
-    "content_fingerprint_cache": """with d as (select distinct doc_id, sha256(coalesce(lang, chr(0)) || chr(31) || coalesce(text, chr(0))) as h from documents),
-o as (select doc_id, max(sha256(coalesce(lang, chr(0)) || chr(31) || coalesce(case when doc_id % 3 = 1 then text else '' end, chr(0)))) as g from documents where doc_id % 3 <> 0 group by 1)
-select case when g is null then 'miss' when g = h then 'hit' else 'stale' end as state, count(*) as n from d left join o using (doc_id) group by 1""",
-    "claim_enforcement_fixpoint": f"""with r0 as (select distinct relation_id, from_claim_id, to_claim_id from claim_relations where from_claim_id is not null and to_claim_id is not null),
-a0 as (select distinct claim_id from claims where deleted_at is null and claim_id is not null), tied as (select distinct unnest([from_claim_id, to_claim_id]) as claim_id from r0),
-{_alive(1)}, {_alive(2)}, {_alive(3)} select * from r3 where from_claim_id in (select claim_id from a3)""",
     "range_overlap_running_max": f"""with c as (select *, max(end_page) over (partition by book_id order by start_page, end_page rows between unbounded preceding and 1 preceding) as end_before from {_CH}),
 s as (select *, lag(start_page) over (partition by book_id order by start_page) as b from {_CH}), e as (select book_id, chapter_id, coalesce(lead(start_page) over (partition by book_id order by start_page) - 1, end_page) as range_end from s where b is null or b <> start_page)
 select c.book_id, c.chapter_id, c.end_before, e.range_end from c left join e using (book_id, chapter_id) where start_page <= end_before""",

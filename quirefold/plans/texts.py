@@ -60,8 +60,8 @@ def bigram_features(spark, sf):
 def _cited(spark, sf):
     """Claims with the blocks that they cite."""
     refs = table(spark, sf, "source_refs").where("ref_type = 'book' and owner_kind = 'claim'").select("book_id", F.col("owner_id").alias("claim_id"), "block_id").distinct()
-    c = with_features(_claims(spark, sf), "statement").select("book_id", "claim_id", "statement", "grams")
-    b = with_features(_blocks(spark, sf), "original_text", "block_grams").select("book_id", "block_id", "original_text", "block_grams")
+    c = _claims(spark, sf).select("book_id", "claim_id", "statement", T.features("statement").alias("grams"))
+    b = _blocks(spark, sf).select("book_id", "block_id", "original_text", T.features("original_text").alias("block_grams"))
     return c.join(refs, ["book_id", "claim_id"]).join(b, ["book_id", "block_id"])
 
 
@@ -71,7 +71,7 @@ def claim_evidence_coverage(spark, sf):
 
 def support_grade(spark, sf):
     pairs = _cited(spark, sf)
-    mismatch = T.numbers_missing("statement", "original_text") | T.negation_differs("statement", "original_text")
+    mismatch = (T.collapse("original_text") == "") | T.numbers_missing("statement", "original_text") | T.negation_differs("statement", "original_text")
     graded = pairs.select("claim_id", "statement", "block_id", "original_text", T.grade(T.coverage("grams", "block_grams"), mismatch).alias("grade"))
     return graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
 
@@ -159,8 +159,8 @@ def repeated_statement_owner(spark, sf):
     """Statements said before in another chapter, with the chapter that said
     them first."""
     c = _claims(spark, sf).withColumn("norm", T.normalize("statement")).where("norm <> ''")
-    first = F.first("chapter_id").over(Window.partitionBy("norm").orderBy("book_id", "chapter_id", "claim_id"))
-    return c.withColumn("owner", first).where(~F.col("owner").eqNullSafe(F.col("chapter_id"))).select("claim_id", "statement", "chapter_id", "owner").distinct()
+    first = c.groupBy("norm").agg(F.min(F.struct("book_id", "chapter_id", "claim_id")).alias("first"))
+    return c.join(first, "norm").where(~F.col("first.chapter_id").eqNullSafe(F.col("chapter_id"))).select("claim_id", "statement", "chapter_id", F.col("first.chapter_id").alias("owner")).distinct()
 
 
 def best_statement_per_key(spark, sf):
@@ -203,7 +203,7 @@ def page_lines(spark, sf):
 _C = "(select distinct book_id, claim_id, chapter_id, statement from claims where statement is not null and claim_id is not null)"
 _B = "(select distinct book_id, block_id, chapter_id, page, ord, block_type, pdf_kind, original_text, confidence from blocks where original_text is not null)"
 _S = "(select distinct job_id, scene_id, ord, purpose, voice_text from scenes where voice_text is not null)"
-_H = "translate({0}, '！＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～　', '!\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{{|}}~ ')"
+_H = "translate(replace({0}, '…', '...'), '！＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～　', '!\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{{|}}~ ')"
 _N = "regexp_replace(lower(" + _H + r"), '[\s\p{{Z}}\p{{P}}\p{{S}}\x{{1c}}-\x{{1f}}\x{{85}}]', '', 'g')"
 _G = "list_distinct(list_transform(range(1, greatest(length({0}), 1)), lambda i: substr({0}, i, 2)))"
 
@@ -213,9 +213,10 @@ def _norm(c: str) -> str:
 
 
 _NUM = "regexp_extract_all(" + _H + r", '[0-9]+(?:\.[0-9]+)?%?')"
+_WORDS = "regexp_extract_all(lower(" + _H + r"), '[a-z]{{3,}}|[0-9]+(?:\.[0-9]+)?%?')"
 _CITED = f"""
-with c as (select book_id, claim_id, statement, {_G.format("n")} as g from (select *, {_norm("statement")} as n from {_C})),
-b as (select book_id, block_id, original_text, {_G.format("n")} as h from (select *, {_norm("original_text")} as n from {_B})),
+with c as (select book_id, claim_id, statement, list_distinct(list_concat({_G.format("n")}, {_WORDS.format("statement")})) as g from (select *, {_norm("statement")} as n from {_C})),
+b as (select book_id, block_id, original_text, list_distinct(list_concat({_G.format("n")}, {_WORDS.format("original_text")})) as h from (select *, {_norm("original_text")} as n from {_B})),
 r as (select distinct book_id, owner_id as claim_id, block_id from source_refs where ref_type = 'book' and owner_kind = 'claim'),
 p as (select c.claim_id, c.statement, b.block_id, b.original_text,
   case when len(g) > 0 then len(list_intersect(g, h)) / len(g) else 0.0 end as score from c join r using (book_id, claim_id) join b using (book_id, block_id))
@@ -301,9 +302,6 @@ select title, case when n <= 10 then x else substr(x, 1, cut) end as line_1, cas
     "metric_extraction": rf"""with m as (select distinct claim_id, statement, regexp_extract_all(statement, '([0-9]+(?:\.[0-9]+)?)\s*(万元|万|%|元)?')[1:3] as hits from {_C}),
 e as (select claim_id, unnest(hits) as hit, generate_subscripts(hits, 1) - 1 as pos from m)
 select distinct claim_id, pos, cast(regexp_extract(hit, '([0-9]+(?:\.[0-9]+)?)', 1) as double) as value, least(2, length(regexp_extract(hit, '\.([0-9]+)', 1))) as decimals, regexp_extract(hit, '(万元|万|%|元)$', 1) as suffix from e""",
-    "spoken_text": rf"""with s as (select job_id, scene_id, replace(replace(replace(voice_text, '因此', '所以'), '此外', '另外'), '然而', '但') as t from {_S}),
-u as (select job_id, scene_id, regexp_replace(t, '([\x{{3000}}-\x{{9fff}}\x{{ff00}}-\x{{ffef}}])[\s\x{{3000}}]+', '\1' || chr(1), 'g') as t from s)
-select null as nothing from u where false""",
     "slug_ids": "select s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') as slug from supplier",
     "repeated_statement_owner": f"""select distinct claim_id, statement, chapter_id, owner from (select *, first_value(chapter_id) over (partition by n order by book_id nulls first, chapter_id nulls first, claim_id) as owner
 from (select *, {_norm("statement")} as n from {_C}) where n <> '') where owner is distinct from chapter_id""",
@@ -319,4 +317,3 @@ u as (select *, list_transform(list_filter(list_transform(regexp_split_to_array(
 v as (select *, list_transform(list_filter(list_zip(raw, range(1, len(raw) + 1)), lambda z: list_position(raw, z[1]) = z[2]), lambda z: z[1]) as d from u)
 select distinct job_id, scene_id, array_to_string(case when len(d) = 0 then list_transform([1, 2, 3], lambda k: substr(regexp_replace(t, '[，。！？；：、]', '', 'g'), 1, 14)) else list_concat(d, [d[len(d)], d[len(d)], d[len(d)]])[1:3] end, '|') as terms from v""",
 }
-del SQL["spoken_text"]  # no look-behind in DuckDB's expressions; tested on fixtures
