@@ -95,7 +95,8 @@ def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
     A term starts at each letter; its length goes by the script of that letter
     (``short``: the shorter one). Stored are those that have the least hash in
-    some window of neighbouring terms. So two texts that share a run as long
+    some window of neighbouring terms, as 32 bits of it: what meets by chance
+    is told by the check of the letters. So two texts that share a run as long
     as a term and a window, less one letter, store the same term there.
     """
     alnum, short_ones = _kinds()
@@ -135,7 +136,7 @@ def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             k *= 2
         stored |= (term == back[::-1]) & (short if wide else True)
     at = np.flatnonzero(stored & whole)
-    return row[at], pos[at].astype(np.int32), term[at].view(np.int64), short[at]
+    return row[at], pos[at].astype(np.int32), (term[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), short[at]
 
 
 def stretch(passage: str, text: str, wide: bool) -> int:
@@ -195,7 +196,7 @@ def _postings(rows: DataFrame, keep: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:keep]), pa.array(term), pa.array(pos), pa.array(short)], names=[*batch.schema.names[:keep], "term", "pos", "short"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:keep])
-    return rows.mapInArrow(work, schema + "term bigint, pos int, short boolean")
+    return rows.mapInArrow(work, schema + "term int, pos int, short boolean")
 
 
 def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -271,10 +272,13 @@ def find_leaks(docs: DataFrame, key: str, text: str, tests: DataFrame, item: str
     held = F.broadcast(rare) if rare.count() <= HELD else rare
     # which parts a text holds, in runs of postings that stand close to each other
     pair = ["key", "text_key", "q"]
-    in_order = Window.partitionBy(*pair).orderBy("pos", "off")
-    hits = index.join(held, "term").select(*pair, "off", "pos", "parts").withColumn("apart", F.col("pos") - F.lag("pos").over(in_order) > REACH)
+    in_order = Window.partitionBy(*pair).orderBy("at")
+    hits = index.join(held.drop("parts"), "term").select(*pair, (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("off")).alias("at"))  # both in one, to be sorted
+    pos, off = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(2**32 - 1))
+    hits = hits.withColumn("apart", pos - F.lag(pos).over(in_order) > REACH)
     hits = hits.withColumn("run", F.count_if("apart").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = hits.groupBy(*pair, "run").agg(F.size(F.collect_set("off")).alias("n"), F.max("parts").alias("parts"), F.min(F.col("pos") - F.col("off")).alias("low"), F.max(F.col("pos") - F.col("off")).alias("high"))
+    runs = hits.groupBy(*pair, "run").agg(F.size(F.collect_set(off)).alias("n"), F.min(pos - off).cast("int").alias("low"), F.max(pos - off).cast("int").alias("high"))
+    runs = runs.where(F.col("n") >= least * LEAST_HIT).join(rare.groupBy("q").agg(F.max("parts").alias("parts")), "q")
     pairs = cut_lineage(runs.where(F.col("n") >= F.greatest(F.lit(1.0), F.col("parts") * least * LEAST_HIT)).select(*pair, "low", "high"))
     given = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("text"))
     texts = given.join(pairs, ["key", "text_key"]).join(asked.select("q", "item", "passage", "wide"), "q").select("key", "item", "text", "passage", "wide", "low", "high")

@@ -196,7 +196,6 @@ _PLAIN = {
     **dict.fromkeys(("en", "de", "fr", "es", "ru"), (re.compile(r"[^\W\d_A-ZÀ-ÞА-Я]{8}[.!?]\Z"), re.compile(r" (?:[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]|[¿¡])"))),
 }
 _LINE_END = re.compile(r"[^\S\n]*\n")
-_LAST = regex.compile(r"[.!?。！？｡．…‥][" + _CL + r"\s]*$", regex.V1)
 _PARTED = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}”」』）》%])[^\S\n]+(?=[\p{Han}\p{Hiragana}\p{Katakana}“「『（《\p{N}])", regex.V1)
 _SPEECH = regex.compile(r"\p{Han}|\p{Hiragana}|\p{Katakana}", regex.V1)
 _LETTERS = regex.compile(r"(\p{Han}|\p{Hiragana}|\p{Katakana}|[。！？「」『』])|(\p{Hangul})|(\p{Thai})|(\p{Cyrillic})|(\p{Latin})", regex.V1)
@@ -224,28 +223,54 @@ def latin_language(text: str) -> str:
     return max(votes, key=lambda k: votes[k])
 
 
-def _script(text: str, at: int) -> str:
-    """The script of the last letter or CJK mark before ``at`` (or else after)."""
-    for i in range(at - 1, max(-1, at - 40), -1):
-        c = text[i]
-        if c.isalpha() or c in "。！？「」『』":
-            m = _LETTERS.match(c)
-            if m:
-                return _SCRIPTS[m.lastindex - 1]
-    m = _LETTERS.search(text, at)
-    return _SCRIPTS[m.lastindex - 1] if m else "latin"
-
-
-def breaks(text: str) -> list[int]:
-    """The positions at which sentences end, in order."""
+@lru_cache(maxsize=None)
+def _letter_script(c: str) -> str:
+    """The script of a letter or CJK mark, empty for others."""
+    m = _LETTERS.match(c) if c.isalpha() or c in "。！？「」『』" else None
+    return _SCRIPTS[m.lastindex - 1] if m else ""
+
+
+def _script(text: str, at: int, since: int, before: str) -> str:
+    """The script of the last letter or CJK mark before ``at``: looked for back
+    to ``since``, where it was ``before``; if there is none, of the next one."""
+    for i in range(at - 1, since - 1, -1):
+        found = _letter_script(text[i])
+        if found:
+            return found
+    return before
+
+
+#: A line break before a word that is no list mark: its first letter, a small
+#: one as the first group, and no mark of a list behind its letters.
+_WRAPPED = re.compile(r"[^\S\n]*\n[^\S\n]*(?:([a-zß-öø-ÿа-яё])|([A-ZÀ-ÖØ-ÞА-ЯЁ一-鿿ぁ-ヺ가-힣ก-ฮ]))[^\W\d_]*+(?![.)）．、])")
+
+
+def _wrapped(text: str, at: int, script: str) -> bool | None:
+    """Of a line break after a letter, where no rule but the one on small
+    letters can match: whether that one does (so there is no break). None: the
+    rules have to be asked. This saves trying them."""
+    own = text[at - 1].isalpha() and _letter_script(text[at - 1])
+    m = _WRAPPED.match(text, at) if own else None
+    if m is None:
+        return None
+    if own in ("latin", "ru"):
+        return m.group(1) is not None
+    return False if m.group(2) and _letter_script(m.group(2)) == own else None
+
+
+def breaks(text: str, shortcuts: bool = True) -> list[int]:
+    """The positions at which sentences end, in order. ``shortcuts`` skips
+    rules where only one can match; the result is the same without."""
     held = [m.span() for m in _HELD.finditer(text)] if _OPENERS.search(text) else []
     language = ""
     found: list[int] = []
     loose: list[int] = []  # line breaks that no rule decided
     marks = False
     h, n_held = 0, len(held)
+    since, seen = 0, ""
     for m in _PLACES.finditer(text):
         at = m.end()
+        seen, since = _script(text, at, since, seen), at
         # a position inside a quotation or bracket is none, but a blank line ends it
         while h < n_held and held[h][1] <= at - 1 and held[h][1] < at:
             h += 1
@@ -256,11 +281,20 @@ def breaks(text: str) -> list[int]:
                 break
         if inside and not text.startswith("\n\n", at):
             continue
-        script = _script(text, at)
+        script = seen
+        if not script:
+            ahead = _LETTERS.search(text, at)
+            script = _SCRIPTS[ahead.lastindex - 1] if ahead else "latin"
         if script == "latin":
             language = language or latin_language(text)
             script = language
-        plain = _PLAIN.get(script)
+        if shortcuts and m.group() == "" and at:
+            wrapped = _wrapped(text, at, script)
+            if wrapped is not None:
+                if not wrapped:
+                    loose.append(at)
+                continue
+        plain = _PLAIN.get(script) if shortcuts else None
         if plain and plain[1].match(text, at) and plain[0].search(text, max(0, at - 9), at):
             found.append(at)
             marks = True
@@ -282,6 +316,13 @@ def breaks(text: str) -> list[int]:
     return sorted({*found, *_unmarked(text, found, loose)})
 
 
+def _ends_marked(text: str, start: int, end: int) -> bool:
+    """An end mark stands last, but for blanks and closing marks."""
+    while end > start and (text[end - 1].isspace() or text[end - 1] in CLOSE):
+        end -= 1
+    return end > start and text[end - 1] in ".!?。！？｡．…‥"
+
+
 def _unmarked(text: str, found: list[int], loose: list[int]) -> list[int]:
     """Breaks of the paragraphs without end marks: there each line is a
     sentence, and in Chinese and Japanese each part between blanks. In a
@@ -292,7 +333,7 @@ def _unmarked(text: str, found: list[int], loose: list[int]) -> list[int]:
         end = m.start() if m else len(text)
         part = text[start:end]
         inner = [p for p in found if start < p <= end and text[p - 1 : p] not in ("\n",)]
-        ended = any(_LAST.search(text[max(start, p - 40) : p]) for p in (end, *inner))
+        ended = any(_ends_marked(text, start, p) for p in (end, *inner))
         if part.strip() and not ended:
             out += [p for p in loose if start < p < end]
             if _SPEECH.search(part):

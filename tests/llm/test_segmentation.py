@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quirefold.llm.segmentation import sentences, split_sentences
+from quirefold.llm.segmentation import breaks, sentences, split_sentences
 
 CASES = {
     "en_abbreviations": ["Capt. Tadrin Jr. and Ms. Oskeld met on Tue. the 17th.", "Version 7.7.22 rose from 30.7% to 73.9%.", "See ch. 29, pp. 31–94, for it."],
@@ -70,3 +72,13 @@ def test_operator(spark):
     got = sorted(map(tuple, split_sentences(df, "text", ["id"]).collect()), key=str)
     assert got == sorted([("a", 0, 4), ("a", 5, 17)] * 2 + [(None, 0, 4)], key=str)
     assert split_sentences(df.limit(0), "text", ["id"]).count() == 0
+
+
+def test_shortcuts_change_nothing(spark):
+    blocks = spark.read.parquet("/root/testdata/sf0.01/blocks.parquet").where("original_text is not null").select("original_text")
+    scenes = spark.read.parquet("/root/testdata/sf0.01/scenes.parquet").where("voice_text is not null").select("voice_text")
+    texts = [r[0] for r in blocks.unionAll(scenes).distinct().collect()]
+    rng = random.Random(4)
+    texts += ["".join(rng.choice("abZé .!?。\n学ไก가나(«»“”1x)—,") for _ in range(rng.randrange(80))) for _ in range(4000)]
+    for t in texts:
+        assert breaks(t) == breaks(t, shortcuts=False), repr(t)
