@@ -243,6 +243,25 @@ def metrics(c, most: int = 3) -> Column:
     return F.transform(found, lambda x: F.struct(raw(x).cast("double").alias("value"), decimals(x).alias("decimals"), F.regexp_extract(x, p, 2).alias("suffix")))
 
 
+def metric_text(value, decimals, suffix) -> Column:
+    """A number as it is shown: whole, or with one or two decimals, and unit."""
+    shown = F.when(decimals == 0, F.floor(value + 0.5).cast("long").cast("string")).when(decimals == 1, F.format_string("%.1f", value)).otherwise(F.format_string("%.2f", value))
+    return F.concat(shown, suffix)
+
+
+def facts(c) -> Column:
+    """Numbers with their separators, percent signs and currencies, in order."""
+    return F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit("([¥￥$€]?[0-9]+(?:[.,][0-9]+)*(?:%|万元|亿元|元|万|亿)?)"), F.lit(1))
+
+
+def connectives(c) -> Column:
+    """Written connectives as they are spoken."""
+    out = F.col(c) if isinstance(c, str) else c
+    for a, b in SPOKEN.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def visual_terms(c, count: int, width: int = 14) -> Column:
     """``count`` distinct short terms between punctuation marks, without lead
     words; the last is repeated if there are fewer."""
