@@ -20,7 +20,10 @@ from collections import Counter, defaultdict
 from collections.abc import Container, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from operator import add
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,10 +54,14 @@ _DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 #: One in so many line ends between two known words teaches what is no join.
 PLAIN_ENDS = 16
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
-_KEY = re.compile(r"[\W\d_]+")
 _APART = re.compile(r"\s{2,}")
 
 
+def _letters(text: str) -> str:
+    """The letters of a text in lower case."""
+    return "".join(filter(str.isalpha, text.lower()))
+
+
 def number_of(text: str) -> int | None:
     """The value of a page number in digits or Roman numerals."""
     if text.isdigit():
@@ -79,7 +86,7 @@ def _bears_number(text: str, page: int | None) -> bool:
     if " ".join(text.split()) == text:  # no two blanks in a row
         return False
     pieces = _APART.split(text)
-    return len(pieces) > 1 and any(_is_number(x, page) and _KEY.sub("", "".join(y)) for x, y in ((pieces[0], pieces[1:]), (pieces[-1], pieces[:-1])))
+    return len(pieces) > 1 and any(_is_number(x, page) and _letters("".join(y)) for x, y in ((pieces[0], pieces[1:]), (pieces[-1], pieces[:-1])))
 
 
 def furniture(lines: list[str], page: int | None, titles: list[str]) -> list[str | None]:
@@ -91,7 +98,8 @@ def furniture(lines: list[str], page: int | None, titles: list[str]) -> list[str
     aside, like one of ``titles``: those of its chapter and book, and the
     lines that :func:`running` finds by their place.
     """
-    keys = [k for t in titles or [] if t and (k := _KEY.sub("", t.lower()))]
+    keys = [k for t in titles or [] if t and (k := _letters(t))]
+    shortest = 0.75 * min(map(len, keys), default=0)  # below it no title is like
     out: list[str | None] = []
     for line in lines:
         kind = None
@@ -101,8 +109,8 @@ def furniture(lines: list[str], page: int | None, titles: list[str]) -> list[str
                 kind = "page_no"
             elif text[-1] not in "。！？!?." and _bears_number(text, page):
                 kind = "header"
-            elif keys and text[-1] not in "。！？!?.":
-                key = _KEY.sub("", text.lower())
+            elif keys and text[-1] not in "。！？!?." and len(text) >= shortest:
+                key = _letters(text)
                 if key and any(_like(key, k) for k in keys):
                     kind = "header"
         out.append(kind)
@@ -116,7 +124,7 @@ def placed(lines: list[str], page: int | None) -> list[tuple[str, bool, bool, bo
     number = [_is_number(t, page) for t in body]
     out = []
     for i, text in enumerate(body):
-        key = "" if number[i] or text[-1] in "。！？!?.,;:，；：、" else _KEY.sub("", text.lower())
+        key = "" if number[i] or text[-1] in "。！？!?.,;:，；：、" else _letters(text)
         if len(key) > 2:
             near = any(number[max(0, i - 1) : i + 2])
             out.append((key, _bears_number(text, page), near, i + 1 < len(body) and body[i + 1][0].islower()))
@@ -124,9 +132,10 @@ def placed(lines: list[str], page: int | None) -> list[tuple[str, bool, bool, bo
 
 
 @lru_cache(maxsize=4096)
-def _title(key: str) -> tuple[frozenset, SequenceMatcher]:
-    """The letters of a title, and a matcher that is prepared for it."""
-    return frozenset(key), SequenceMatcher(None, "", key, autojunk=False)
+def _title(key: str) -> tuple[frozenset, frozenset, SequenceMatcher]:
+    """The letters of a title and its pairs of letters, and a matcher that is
+    prepared for it."""
+    return frozenset(key), frozenset(map(add, key, key[1:])), SequenceMatcher(None, "", key, autojunk=False)
 
 
 def _like(a: str, b: str) -> bool:
@@ -134,8 +143,12 @@ def _like(a: str, b: str) -> bool:
         return True
     if not 0.75 <= len(a) / len(b) <= 1.34:
         return False
-    letters, s = _title(b)
-    if 2 * sum(map(letters.__contains__, a)) < LIKE_TITLE * (len(a) + len(b)):  # more can't match
+    letters, pairs, s = _title(b)
+    size = len(a) + len(b)
+    if 2 * sum(map(letters.__contains__, a)) < LIKE_TITLE * size:  # more letters can't match
+        return False
+    # m matching letters lie in size - 2 m + 1 blocks at most, so m less that many pairs are shared
+    if sum(map(pairs.__contains__, map(add, a, a[1:]))) < (1.5 * LIKE_TITLE - 1) * size - 1:
         return False
     s.set_seq1(a)
     return s.quick_ratio() >= LIKE_TITLE and s.ratio() >= LIKE_TITLE
@@ -163,10 +176,13 @@ def windows_of(texts: list[str]) -> Counter:
     """Each CJK character between its neighbours, counted; digits are one, line
     ends don't count, the text's ends are blanks."""
     flat = "".join(f" {t.replace('\n', '')} " for t in texts if _CJK.search(t))
+    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    keys, counts = np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:], return_counts=True)
     out: Counter = Counter()
-    for w, n in Counter(zip(flat, flat[1:], flat[2:])).items():
-        if _CJK.match(w[1]):
-            out["".join(w).translate(_ZEROS)] += n
+    for key, n in zip(keys.tolist(), counts.tolist(), strict=True):
+        c = chr(key >> 21 & 0x1FFFFF)
+        if _CJK.match(c):
+            out[f"{chr(key >> 42)}{c}{chr(key & 0x1FFFFF)}".translate(_ZEROS)] += n
     return out
 
 
@@ -180,13 +196,20 @@ def parts(text: str, page: int | None, titles: list[str], known: set[str]) -> li
     return [x[:4] for x in _parts(text, page, titles, known)]
 
 
-def _parts(text: str, page: int | None, titles: list[str], known: set[str], checked: dict[str, str] | None = None) -> list[tuple[int, str, str, str, str]]:
+def _parts(text: str, page: int | None, titles: list[str], known: set[str], checked: dict[str, _Token] | None = None) -> list[tuple[int, str, str, str, str]]:
     """As :func:`parts`, with the line end (left half and its hyphen, a line
     feed, right half) that a row is, or whose half it is. ``checked``
-    remembers what :func:`_unknown` said of a token."""
+    remembers what is known of a token."""
     checked = {} if checked is None else checked
     if len(checked) > REMEMBERED:
         checked.clear()
+
+    def look(token: str) -> _Token:
+        found = checked.get(token)
+        if found is None:
+            found = checked[token] = _token(token, known)
+        return found
+
     lines = text.split("\n")
     kinds = furniture(lines, page, titles)
     out: list[tuple[int, str, str, str, str]] = [(i, k, "", "", "") for i, k in enumerate(kinds) if k]
@@ -209,38 +232,44 @@ def _parts(text: str, page: int | None, titles: list[str], known: set[str], chec
                     out.append((i, "hyphen", left + right, left + "-" + right if own else "", f"{left}{last[len(stem)]}\n{right}"))
                     tokens = tokens[:-1]
                     skip_first.add(body[at + 1])
-            elif last == stem and last[-1].isalpha() and nxt[0][0].isalpha() and len(tokens) - 1 not in ends and not any(p.search(x) for p in (_CJK, _DENSE) for x in (last, nxt[0])):
-                left, right = _bare(last), _bare(nxt[0])
+            elif last == stem and last[-1].isalpha() and nxt[0][0].isalpha() and len(tokens) - 1 not in ends and not (look(last).dense or look(nxt[0]).dense):
+                left, right = look(last).bare, look(nxt[0]).bare
                 end = f"{left}\n{right}"
-                if left.lower() not in known or right.lower() not in known or (left + right).lower() in known:
+                if not (look(last).known and look(nxt[0]).known) or (left + right).lower() in known:
                     out.append((i, "join", left + right, "", end))
                     ends[len(tokens) - 1] = half[body[at + 1]] = end
                 elif zlib.crc32(end.encode()) % PLAIN_ENDS == 0:
                     out.append((i, "plain", left + right, "", end))
         for k, token in enumerate(tokens):
-            bare = checked.get(token)
-            if bare is None:
-                bare = checked[token] = _unknown(token, known)
-            if bare:
-                out.append((i, "word", bare, "", ends.get(k, "")))
+            seen = checked.get(token) or look(token)
+            if seen.odd:
+                out.append((i, "word", seen.bare, "", ends.get(k, "")))
     if _CJK.search(text):
         flat = f"  {''.join(lines[i] for i in body)}  "
         starts = [2]
         for i in body:
             starts.append(starts[-1] + len(lines[i]))
-        for j, w in enumerate(zip(flat[1:], flat[2:], flat[3:]), 2):
-            if "".join(w) not in known and j < len(flat) - 2 and _CJK.match(w[1]) and "".join(w).translate(_ZEROS) not in known:
+        for j in [j for j in range(2, len(flat) - 2) if flat[j - 1 : j + 2] not in known]:
+            if _CJK.match(flat[j]) and flat[j - 1 : j + 2].translate(_ZEROS) not in known:
                 out.append((body[bisect_right(starts, j) - 1], "cjk", flat[j - 2 : j + 3].translate(_ZEROS), "", ""))
     return out
 
 
-def _unknown(token: str, known: set[str]) -> str:
-    """The bare word if the token holds one that clean text doesn't know, else
-    nothing."""
-    if _CJK.search(token):
-        return ""
+class _Token(NamedTuple):
+    """A token without outer punctuation; whether it is in a script without
+    blanks, known to clean text, and a word that clean text doesn't know."""
+
+    bare: str
+    dense: bool
+    known: bool
+    odd: bool
+
+
+def _token(token: str, known: set[str]) -> _Token:
     bare = _bare(token)
-    return bare if len(bare) > 1 and bare.lower() not in known and any(c.isalpha() for c in bare) else ""
+    wide = _CJK.search(token) is not None
+    there = bare.lower() in known
+    return _Token(bare, wide or _DENSE.search(token) is not None, there, not wide and not there and len(bare) > 1 and any(c.isalpha() for c in bare))
 
 
 class Editor:
@@ -606,7 +635,7 @@ def find_damage(pages: DataFrame, text: str, page: str, titles: str, keep: list[
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        checked: dict[str, str] = {}
+        checked: dict[str, _Token] = {}
         for batch in batches:
             numbers, heads, texts = (batch.column(batch.num_columns - k).to_pylist() for k in (3, 2, 1))
             rows = [[dict(zip(("line_no", "kind", "seen", "other", "end"), p, strict=True)) for p in _parts(t, n, h, own, checked)] for n, h, t in zip(numbers, heads, texts, strict=True)]

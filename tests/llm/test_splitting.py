@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quirefold.llm.splitting import cut, split_oversized, unbroken
+from quirefold.llm.splitting import cut, split_oversized, stretch_at_cuts, unbroken
 
 
 @settings(max_examples=300, deadline=None)
@@ -13,7 +13,7 @@ def test_pieces(text, limit, overlap):
         assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     for (a, b, _), (c, d, _) in zip(pieces, pieces[1:]):
         assert a < c <= b < d
-        assert b - c <= min(overlap, limit // 2) and (b - c == min(overlap, limit // 2) or c == b)
+        assert b - c <= min(overlap, limit - 1) and (b - c == min(overlap, limit - 1) or c == b or c == a + 1)
     assert all(b - a <= limit for a, b, _ in pieces)
 
 
@@ -39,5 +39,12 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "id string, t string, size_limit int, o int, n_chars int")
     got = split_oversized(df, "t", "size_limit", "o", ["id"]).collect()
     assert sorted(r["id"] for r in got) == ["a", "a", "e"]
-    assert {(r["n_chars"], r["longest_stretch"], r["size_limit"]) for r in got} == {(30, 30, 10), (60, 1, 20)}
+    assert {(r["n_chars"], r["cut_stretch"], r["size_limit"], r["overlap"]) for r in got} == {(30, 30, 10, 2), (60, 0, 20, 0)}
     assert split_oversized(df.limit(0), "t", "size_limit", "o", ["id"]).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc 。，.! \n人-“$", max_size=120), st.integers(1, 30), st.integers(0, 12))
+def test_stretches_beyond_the_limit_are_cut(text, limit, overlap):
+    pieces = cut(text, limit, overlap)
+    assert (stretch_at_cuts(text, pieces) > limit) == (unbroken(text) > limit)
