@@ -58,6 +58,14 @@ def plain_text(text: str) -> str:
     return _SPACE.sub(" ", text.lower()).strip()
 
 
+def by_script(text: str):
+    """The language that the script of a text alone tells, else und."""
+    out = F.lit("und")
+    for pattern, lang in (("\\p{IsCyrillic}", "ru"), ("\\p{IsThai}", "th"), ("\\p{IsHangul}", "ko"), ("\\p{IsHan}", "zh-CN"), ("[ぁ-ヺ]", "ja")):
+        out = F.when(F.col(text).rlike(pattern), lang).otherwise(out)
+    return out
+
+
 def too_short(plain: str) -> bool:
     dense = len(_DENSE.findall(plain))
     return dense < SHORT[1] and len(plain) - plain.count(" ") - dense < SHORT[0]

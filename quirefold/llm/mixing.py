@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +31,27 @@ def plain_source(c):
     return F.nullif(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
 
 
+@lru_cache(maxsize=2)
+def _encoding(path: str, pattern: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_counts(df: DataFrame, text: str, keep: list[str], vocabulary: str, pattern: str) -> DataFrame:
     """The columns of ``keep`` and n_tokens, by a byte-level BPE whose ranks lie
-    in the file ``vocabulary``. A null text has 0 tokens. Narrow."""
+    in the file ``vocabulary`` of the driver; it is sent to the executors, and
+    read once by each of their processes. A null text has 0 tokens. Narrow."""
     import tiktoken  # noqa: F401  (fails here rather than in the tasks)
 
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
     given = df.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = _encoding(SparkFiles.get(name), pattern)
         for batch in batches:
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quirefold.llm.langid import LANGUAGES, identify
+from quirefold.llm.langid import LANGUAGES, by_script, identify
 from quirefold.llm.leakage import find_leaks
 from quirefold.llm.lookalike import one_form, same_look
 from quirefold.llm.mixing import balance, token_counts
@@ -85,15 +85,19 @@ def p3_texts(spark: SparkSession, sf: str) -> DataFrame:
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
     """book_id, block_id, label_lang and segments of every block with letters;
     blocks that are too short, or that the models hardly tell apart, are one
-    segment in the language of most of their book's text."""
-    blocks = table(spark, sf, "blocks").select("book_id", "block_id", "language", "original_text")
-    found = cut_lineage(identify(spread(blocks), "original_text", "language", ["book_id", "block_id"]).where("has_letters"))
+    segment in the language of most of their book's text; in a book without
+    any sure text, of most of its labels, else of the script, else und."""
+    blocks = table(spark, sf, "blocks").select("book_id", "block_id", "language", "original_text", by_script("original_text").alias("script"))
+    found = cut_lineage(identify(spread(blocks), "original_text", "language", ["book_id", "block_id", "script"]).where("has_letters"))
     sizes = found.select("book_id", F.inline("segments")).groupBy("book_id", "lang").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("n"))
-    books = sizes.groupBy("book_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("book_lang"))
+    texts = sizes.groupBy("book_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("text_lang"))
+    counts = found.where(F.col("label_lang").isin(*LANGUAGES)).groupBy("book_id", "label_lang").agg(F.count(F.lit(1)).alias("n"))
+    labels = counts.groupBy("book_id").agg(F.max_by("label_lang", F.struct("n", "label_lang")).alias("most_labels"))
+    books = labels.join(texts, "book_id", "full_outer")
     one = F.array(F.struct(F.lit(0).alias("start_pos"), F.lit(None).cast("int").alias("end_pos"), F.col("book_lang").alias("lang"), F.lit(0.0).cast("double").alias("confidence")))
     unsure = F.size("segments") == 0
-    rows = found.join(books, "book_id", "left")
-    return rows.withColumn("segments", F.when(unsure & F.col("book_lang").isNotNull(), one).otherwise(F.col("segments")))
+    rows = found.join(books, "book_id", "left").withColumn("book_lang", F.coalesce("text_lang", "most_labels", "script"))
+    return rows.withColumn("segments", F.when(unsure, one).otherwise(F.col("segments")))
 
 
 def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,8 +123,9 @@ def p5_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Items above their limit, and those of them without enough boundaries."""
-    reasons = F.when(F.col("longest_stretch") > F.col("size_limit"), F.array(F.lit("oversize"), F.lit("no_boundary"))).otherwise(F.array(F.lit("oversize")))
+    """Items above their limit, and those of them whose hard cuts part a
+    stretch that is longer than the limit."""
+    reasons = F.when(F.col("cut_stretch") > F.col("size_limit"), F.array(F.lit("oversize"), F.lit("no_boundary"))).otherwise(F.array(F.lit("oversize")))
     return p5_split(spark, sf).select(*_IDS, F.explode(reasons).alias("reason")).distinct()
 
 

@@ -65,8 +65,8 @@ SAY_EN = "said|asked|replied|answered|whispered|added|shouted|cried|wrote|noted|
 class Rule:
     """break or no break, for text ending with ``before`` and going on with
     ``after``. ``ends`` and ``starts`` name all characters with which a match
-    of ``before`` can end and one of ``after`` can start, if they are few;
-    they only save trying the rule elsewhere."""
+    of ``before`` can end and one of ``after`` can start, if they are few,
+    a line feed standing for blanks before one; they only save trying the rule elsewhere."""
 
     breaks: bool
     before: str
@@ -96,11 +96,11 @@ _QUOTE_OR_BRACKET = (
 
 EVERYWHERE = (
     # a blank line parts paragraphs; a list mark begins an item
-    Rule(True, "", r"[^\S\n]*\n[^\S\n]*\n", starts=_BLANKS),
-    Rule(True, "", r"[^\S\n]*\n\s*" + MARKS + r"\s*\p{L}", starts=_BLANKS),
-    Rule(True, "", r"[^\S\n]*\n\s*" + MARKS + r"[^\S\n]+\S", starts=_BLANKS),
+    Rule(True, "", r"[^\S\n]*\n[^\S\n]*\n", starts="\n"),
+    Rule(True, "", r"[^\S\n]*\n\s*" + MARKS + r"\s*\p{L}", starts="\n"),
+    Rule(True, "", r"[^\S\n]*\n\s*" + MARKS + r"[^\S\n]+\S", starts="\n"),
     # a new line in another script
-    Rule(True, r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]", r"[^\S\n]*\n\s*[\p{Lu}&&[\p{Latin}\p{Cyrillic}]]", starts=_BLANKS),
+    Rule(True, r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]", r"[^\S\n]*\n\s*[\p{Lu}&&[\p{Latin}\p{Cyrillic}]]", starts="\n"),
     # the mark belongs to its item
     Rule(False, r"(?:^|\n|[.!?。！？…][" + _CL + r"]*\s)\s*" + MARKS, r"", ends=".)）．、•·▪◦‣●○■□*–—-①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"),
     # decimals, versions, names of files: no blank and no capital after the point
@@ -300,7 +300,10 @@ def breaks(text: str, shortcuts: bool = True) -> list[int]:
             marks = True
             continue
         decided = None
-        for does, before, after in _applicable(script, text[at - 1 : at], text[at : at + 1]):
+        first = text[at : at + 1]
+        if first.isspace() and first != "\n" and _LINE_END.match(text, at):
+            first = "\n"
+        for does, before, after in _applicable(script, text[at - 1 : at], first):
             if (after is None or after.match(text, at)) and (before is None or before.match(text, 0, at)):
                 decided = does
                 break

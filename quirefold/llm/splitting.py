@@ -20,16 +20,32 @@ _CLAUSE = "，、；：,;:—–。．.!?！？…·"
 KINDS = ("sentence", "clause", "blank", "hard")
 
 
+def _parts_words(c: str) -> bool:
+    return not c.isalnum() and (c.isspace() or unicodedata.category(c)[0] == "P")
+
+
 def unbroken(text: str) -> int:
     """Length of the longest stretch without white space and punctuation."""
     longest = run = 0
     for c in text:
-        if c.isalnum() or not (c.isspace() or unicodedata.category(c)[0] == "P"):
-            run += 1
-            if run > longest:
-                longest = run
-        else:
-            run = 0
+        run = 0 if _parts_words(c) else run + 1
+        longest = max(longest, run)
+    return longest
+
+
+def stretch_at_cuts(text: str, pieces: list[tuple[int, int, str]]) -> int:
+    """Length of the longest stretch without white space and punctuation that
+    a hard cut parts; 0 without hard cuts. A stretch longer than the limit
+    leaves no other cut, so it is never missed."""
+    longest = reached = 0
+    for _, end, kind in pieces:
+        if kind == "hard" and end >= reached:
+            a = b = end
+            while a > 0 and not _parts_words(text[a - 1]):
+                a -= 1
+            while b < len(text) and not _parts_words(text[b]):
+                b += 1
+            longest, reached = max(longest, b - a), b
     return longest
 
 
@@ -44,14 +60,14 @@ def cut(text: str, limit: int, overlap: int, measure: Callable[[list[str]], list
     boundary is taken if it lies in the second half of the room, a lesser one
     else; without any, a token larger than the room is cut hard. A hard cut
     doesn't part a letter from its combining marks. A text within the limit is
-    one piece; an empty text has none. ``overlap`` is reduced to half the
-    limit if it isn't smaller than that; a limit under 1 counts as 1.
+    one piece; an empty text has none. An overlap that leaves no room below
+    the limit is reduced to the limit less one; a limit under 1 counts as 1.
     """
     n = len(text)
     if n == 0:
         return []
     limit = max(1, limit)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     spans = [m.span() for m in _TOKEN.finditer(text)]
     if measure is None:
         size_at = range(n + 1)  # characters: a prefix sum is the offset itself
@@ -101,8 +117,9 @@ _PIECES = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32())
 def split_oversized(df: DataFrame, text: str, limit: str, overlap: str, keep: list[str], measure: Callable | None = None) -> DataFrame:
     """The items above their limit, each with its pieces.
 
-    Result: the columns of ``keep``, n_chars, longest_stretch (see
-    :func:`unbroken`), and pieces, an array of (start_pos, end_pos, cut).
+    Result: the columns of ``keep``, size_limit and overlap as given, n_chars,
+    cut_stretch (see :func:`stretch_at_cuts`), and pieces, an array of
+    (start_pos, end_pos, cut).
     Items with a null text or limit, or within the limit, give no row. Repeated
     rows stay repeated; other columns of ``df`` are dropped.
 
@@ -120,9 +137,9 @@ def split_oversized(df: DataFrame, text: str, limit: str, overlap: str, keep: li
             pieces = [cut(t, a, b, measure) for t, a, b in zip(texts, limits, overlaps, strict=True)]
             rows = pa.array([[{"start_pos": a, "end_pos": b, "cut": k} for a, b, k in p] for p in pieces], type=_PIECES)
             counts = pa.array([len(t) for t in texts], type=pa.int32())
-            runs = pa.array([unbroken(t) for t in texts], type=pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], counts, runs, rows], names=[*batch.schema.names[:-2], "n_chars", "longest_stretch", "pieces"])
+            runs = pa.array([stretch_at_cuts(t, p) for t, p in zip(texts, pieces, strict=True)], type=pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts, runs, rows], names=[*batch.schema.names[:-1], "n_chars", "cut_stretch", "pieces"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-2])
-    out = given.mapInArrow(work, schema + "n_chars int, longest_stretch int, pieces array<struct<start_pos:int,end_pos:int,cut:string>>")
-    return out.where(F.size("pieces") > 1).withColumnRenamed("__limit", "size_limit")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
+    out = given.mapInArrow(work, schema + "n_chars int, cut_stretch int, pieces array<struct<start_pos:int,end_pos:int,cut:string>>")
+    return out.where(F.size("pieces") > 1).withColumnsRenamed({"__limit": "size_limit", "__overlap": "overlap"})
