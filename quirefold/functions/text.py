@@ -55,15 +55,16 @@ def let(value: Column, body) -> Column:
 
 def half_width(c) -> Column:
     """Full-width ASCII and the ideographic space in their usual width, the
-    ellipsis as three points."""
-    return F.replace(F.translate(F.col(c) if isinstance(c, str) else c, _FULL, _HALF), F.lit("…"), F.lit("..."))
+    ellipsis as three points, the Thai vowel am as its two signs."""
+    out = F.translate(F.col(c) if isinstance(c, str) else c, _FULL, _HALF)
+    return F.replace(F.replace(out, F.lit("…"), F.lit("...")), F.lit("\u0e33"), F.lit("\u0e4d\u0e32"))
 
 
 #: Texts of these characters only are changed by NFKC as half_width does; a
 #: shortcut, all others go through the Unicode tables of Python.
 _PLAIN_NFKC = (
     "(?s)^(?!.*[\\u0e48-\\u0e4b][\\u0e38-\\u0e3a])[\\x00-\\x7f\\u00a1-\\u00a7\\u00a9\\u00ab-\\u00ae\\u00b0\\u00b1\\u00b6\\u00b7\\u00bb\\u00bf-\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e"
-    "\\u0400-\\u0481\\u0e01-\\u0e32\\u0e34-\\u0e3a\\u0e3f-\\u0e5b\\u2010\\u2012-\\u2016\\u2018-\\u2023\\u2026\\u2027\\u3000-\\u3035\\u3041-\\u3096\\u309d\\u309e\\u30a1-\\u30fe\\u4e00-\\u9fff\\uac00-\\ud7a3\\uff01-\\uff5e]*$"
+    "\\u0400-\\u0481\\u0e01-\\u0e3a\\u0e3f-\\u0e5b\\u2010\\u2012-\\u2016\\u2018-\\u2023\\u2026\\u2027\\u3000-\\u3035\\u3041-\\u3096\\u309d\\u309e\\u30a1-\\u30fe\\u4e00-\\u9fff\\uac00-\\ud7a3\\uff01-\\uff5e]*$"
 )
 
 
@@ -243,6 +244,13 @@ def metrics(c, most: int = 3) -> Column:
     return F.transform(found, lambda x: F.struct(raw(x).cast("double").alias("value"), decimals(x).alias("decimals"), F.regexp_extract(x, p, 2).alias("suffix")))
 
 
+def safe_id(c) -> Column:
+    """The id if it can be a name of one file below a folder: not empty, no
+    separators, no drive, no step upwards; else null."""
+    c = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.when((c != "") & ~c.rlike("[/\\\\\\x00-\\x1f]|^\\.\\.?$|\\.\\.|^[A-Za-z]:"), c)
+
+
 def metric_text(value, decimals, suffix) -> Column:
     """A number as it is shown: whole, or with one or two decimals, and unit."""
     shown = F.when(decimals == 0, F.floor(value + 0.5).cast("long").cast("string")).when(decimals == 1, F.format_string("%.1f", value)).otherwise(F.format_string("%.2f", value))

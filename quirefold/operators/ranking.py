@@ -56,6 +56,11 @@ def greedy_fill(items: Column, size_of, most: int, enough: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def window_of(nth: Column, size: int) -> Column:
+    """The number of the window of ``size`` rows that the nth row (from 1) is in."""
+    return F.floor((nth - 1) / size)
+
+
 def rotating_window(items: Column, most: int, index: Column) -> Column:
     """The window of at most ``most`` items that ``index`` points to, round and
     round."""

@@ -29,10 +29,11 @@ def gaps(df: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
     return df.withColumn("gap", F.when(before.isNotNull(), F.greatest(F.lit(0), F.col(start) - before)))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at floor(n / 2) of the sorted values; null if there is none."""
-    s = F.array_sort(values)
-    return F.when(F.size(s) > 0, F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int")))
+def middle(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Adds ``is_middle`` for the row at floor(n / 2) of each group in order,
+    the upper median; a group is sorted, not held in one row."""
+    w = Window.partitionBy(*group)
+    return df.withColumn("is_middle", F.row_number().over(w.orderBy(*order)) - 1 == F.floor(F.count(F.lit(1)).over(w) / 2))
 
 
 def timeline(df: DataFrame, group: list[str], order: list[str], duration, pause, lead_in: int = 0) -> DataFrame:

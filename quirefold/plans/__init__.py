@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirefold.plans import calibration, data_care, graph, reading, relations, texts, timelines
+from quirefold.plans import audit, calibration, data_care, graph, reading, relations, texts, timelines
 
-_MODULES = (data_care, texts, relations, graph, calibration, reading, timelines)
+_MODULES = (data_care, texts, relations, graph, calibration, reading, audit, timelines)
 
 
 def queries() -> dict:

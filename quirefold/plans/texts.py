@@ -105,10 +105,16 @@ def scope_predicates(spark, sf):
 
 
 def chapter_numbers(spark, sf):
-    """Number words parsed from texts that name a chapter, and plain checks of
-    the numeral parser on the chapters' own numbers."""
+    """Numbers parsed from titles that begin with a chapter's number, in
+    digits or in Chinese numerals up to 999, by turns."""
     ch = table(spark, sf, "chapters").select("book_id", "chapter_id", "ord", "title").distinct()
-    marked = ch.withColumn("marked", F.concat(F.lit("第"), F.col("ord") + 1, F.lit("章 "), F.coalesce("title", F.lit(""))))
+    n = F.col("ord") * 37 % 999 + 1
+    digit = lambda x: F.substring(F.lit("一二三四五六七八九"), x.cast("int"), F.lit(1))
+    h, t, u = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
+    tens = F.when((t == 1) & (h == 0), "十").when(t > 0, F.concat(digit(t), F.lit("十"))).when((h > 0) & (u > 0), "零").otherwise("")
+    words = F.concat(F.when(h > 0, F.concat(digit(h), F.lit("百"))).otherwise(""), tens, F.when(u > 0, digit(u)).otherwise(""))
+    named = F.when(F.col("ord") % 3 == 0, n.cast("string")).otherwise(words)
+    marked = ch.withColumn("marked", F.concat(F.lit("第"), named, F.lit("章 "), F.coalesce("title", F.lit(""))))
     return marked.withColumn("p", T.chapter_prefix("marked")).select("book_id", "chapter_id", "title", F.col("p.marker").alias("marker"), F.col("p.number").alias("number"), F.col("p.suffix").alias("suffix"))
 
 
@@ -203,7 +209,7 @@ def page_lines(spark, sf):
 _C = "(select distinct book_id, claim_id, chapter_id, statement from claims where statement is not null and claim_id is not null)"
 _B = "(select distinct book_id, block_id, chapter_id, page, ord, block_type, pdf_kind, original_text, confidence from blocks where original_text is not null)"
 _S = "(select distinct job_id, scene_id, ord, purpose, voice_text from scenes where voice_text is not null)"
-_H = "translate(replace({0}, '…', '...'), '！＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～　', '!\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{{|}}~ ')"
+_H = "translate(replace(replace({0}, '…', '...'), chr(3635), chr(3661) || chr(3634)), '！＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～　', '!\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{{|}}~ ')"
 _N = "regexp_replace(lower(" + _H + r"), '[\s\p{{Z}}\p{{P}}\p{{S}}\x{{1c}}-\x{{1f}}\x{{85}}]', '', 'g')"
 _G = "list_distinct(list_transform(range(1, greatest(length({0}), 1)), lambda i: substr({0}, i, 2)))"
 
@@ -292,8 +298,9 @@ case when regexp_matches(statement, '{"^(.{2,120}?)(?:" + T.CAUSES + ")(.{2,120}
     "scope_predicates": f"""select distinct claim_id, statement, length(trim(statement)) < 8 or regexp_matches(trim(statement), '{T.FRAGMENT_START}') or regexp_matches(trim(statement), '{T.FRAGMENT_END}') as fragment,
 regexp_matches(statement, '{T.HEDGES}') as hedged, len(list_filter(coalesce(applies_to, []), lambda x: regexp_matches(x, '{T.UNIVERSAL}'))) > 0 as universal,
 len(list_filter(coalesce(does_not_apply_to, []), lambda x: not regexp_matches(x, '{T.BOUNDARY}'))) > 0 as boundary_unclear from claims where statement is not null and claim_id is not null""",
-    "chapter_numbers": r"""select book_id, chapter_id, title, '第' || (ord + 1) || '章' as marker, ord + 1 as number, trim(regexp_replace(coalesce(title, ''), '[\s\p{Z}]+', ' ', 'g')) as suffix
-from (select distinct book_id, chapter_id, ord, title from chapters)""",
+    "chapter_numbers": r"""select book_id, chapter_id, title, '第' || case when ord % 3 = 0 then cast(ord * 37 % 999 + 1 as varchar) else case when h > 0 then substr(d, h, 1) || '百' else '' end ||
+case when t = 1 and h = 0 then '十' when t > 0 then substr(d, t, 1) || '十' when h > 0 and u > 0 then '零' else '' end || case when u > 0 then substr(d, u, 1) else '' end end || '章' as marker, ord * 37 % 999 + 1 as number, trim(regexp_replace(coalesce(title, ''), '[\s\p{Z}]+', ' ', 'g')) as suffix
+from (select *, (ord * 37 % 999 + 1) // 100 as h, (ord * 37 % 999 + 1) // 10 % 10 as t, (ord * 37 % 999 + 1) % 10 as u, '一二三四五六七八九' as d from (select distinct book_id, chapter_id, ord, title from chapters))""",
     "whitespace_collapse": rf"select job_id, scene_id, trim(regexp_replace(voice_text, '[\s\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}]+', ' ', 'g')) as text from {_S}",
     "caption_two_line_layout": r"""with t as (select distinct title, trim(title) as x from chapters where title is not null),
 c as (select title, x, length(x) as n, list_filter(range(3, 11), lambda i: i <= length(x) and regexp_matches(substr(x, i, 1), '[，。！？；：、]') and length(x) - i <= 10) as cuts from t where length(x) <= 20),

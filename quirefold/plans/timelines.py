@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions import timeline as G
-from quirefold.operators import rules, windows
+from quirefold.operators import ranking, rules, windows
 from quirefold.sources.documents import assemble_chunks
 from quirefold.session import table
 from quirefold.streaming import events as E
@@ -30,7 +30,8 @@ def _ms(c: str):
 
 def boundary_gap_stats(spark, sf):
     g = windows.gaps(_spans(spark, sf), ["user_id"], "start_ms", "end_ms").where("gap is not null")
-    return g.groupBy("user_id").agg(windows.upper_median(F.collect_list("gap")).alias("median_gap"), F.max("gap").alias("max_gap"), F.count_if(F.col("gap") >= 700).alias("long_gaps"))
+    g = windows.middle(g, ["user_id"], ["gap", "event_id"])
+    return g.groupBy("user_id").agg(F.max(F.when(F.col("is_middle"), F.col("gap"))).alias("median_gap"), F.max("gap").alias("max_gap"), F.count_if(F.col("gap") >= 700).alias("long_gaps"))
 
 
 def trim_window(spark, sf):
@@ -161,7 +162,7 @@ def stable_ordinals(spark, sf):
     """Padded ids by order, and the rotating window each belongs to."""
     s = _scenes(spark, sf).select("job_id", "scene_id", "ord").distinct()
     nth = F.row_number().over(Window.partitionBy("job_id").orderBy("ord", "scene_id"))
-    return s.withColumn("n", nth).select("job_id", "scene_id", F.concat(F.lit("bundle-"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("stable_id"), F.floor((F.col("n") - 1) / 4).alias("window"))
+    return s.withColumn("n", nth).select("job_id", "scene_id", F.concat(F.lit("bundle-"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("stable_id"), ranking.window_of(F.col("n"), 4).alias("window"))
 
 
 def chunk_assembly(spark, sf):
