@@ -127,7 +127,7 @@ def scaled_boxes(spark, sf):
     0..1."""
     b = table(spark, sf, "blocks").where("bbox is not null and pdf_kind = 'scanned'").groupBy("book_id", "block_id").agg(F.min("bbox").alias("q"), F.min("confidence").alias("c"))
     box = G.flip_scaled(F.col("q"), 1240.0, 1754.0, 595.0, 842.0)
-    return b.select("book_id", "block_id", box.alias("b"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c") * 110 / 100)).alias("confidence")).select("book_id", "block_id", "b.*", "confidence")
+    return b.select("book_id", "block_id", box.alias("b"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("c", F.lit(0.0)) * 110 / 100)).alias("confidence")).select("book_id", "block_id", "b.*", "confidence")
 
 
 def transformed_bounds(spark, sf):
