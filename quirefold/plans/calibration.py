@@ -61,12 +61,13 @@ def _angle_support(spark: SparkSession, sf: str, least: float, least_each: float
     a = table(spark, sf, "angles").where("thesis is not null").groupBy("angle_id").agg(F.min("thesis").alias("thesis"))
     a = a.select("angle_id", "thesis", T.bigrams(T.normalize("thesis")).alias("tf"), F.array_distinct(T.numeric_tokens("thesis")).alias("numbers"))
     c = _claims(spark, sf).where("statement is not null").select("claim_id", "statement", T.bigrams(T.normalize("statement")).alias("sf"), T.numeric_tokens("statement").alias("have"))
-    j = _angle_claims(spark, sf).select("angle_id", "claim_id").join(a, "angle_id").join(c, "claim_id")
+    # merged by key: by the size of their files, texts with their pairs of characters look small enough for the driver
+    j = _angle_claims(spark, sf).select("angle_id", "claim_id").join(a.hint("merge"), "angle_id").join(c.hint("merge"), "claim_id")
     per = j.select("angle_id", "thesis", F.size("tf").alias("n"), F.size("numbers").alias("n_numbers"), F.array_intersect("tf", "sf").alias("f"), F.array_intersect("numbers", "have").alias("k"), T.coverage("tf", "sf").alias("each"), F.col("statement").rlike(T.CAUSAL).alias("causal"))
     covered = per.select("angle_id", F.explode("f").alias("f")).distinct().groupBy("angle_id").agg(F.count(F.lit(1)).alias("covered"))
     found = per.select("angle_id", F.explode("k").alias("k")).distinct().groupBy("angle_id").agg(F.count(F.lit(1)).alias("found"))
     g = per.groupBy("angle_id", "thesis", "n", "n_numbers").agg(F.min("each").alias("least_each"), F.max("causal").alias("causal"))
-    g = g.join(covered, "angle_id", "left").join(found, "angle_id", "left").withColumn("score", F.coalesce("covered", F.lit(0)) / F.greatest("n", F.lit(1)))
+    g = g.join(covered.hint("merge"), "angle_id", "left").join(found.hint("merge"), "angle_id", "left").withColumn("score", F.coalesce("covered", F.lit(0)) / F.greatest("n", F.lit(1)))
     ok = (F.col("score") >= least) & (F.col("least_each") >= least_each) & (F.coalesce("found", F.lit(0)) == F.col("n_numbers")) & (~F.col("thesis").rlike(T.CAUSAL) | F.col("causal"))
     return g.select("angle_id", F.round("score", 6).alias("score"), ok.alias("supported"))
 
