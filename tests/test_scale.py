@@ -1,8 +1,11 @@
 """What large tables need: nothing that grows is sent to the driver or held at once."""
 
+import random
+
 import pytest
 
 from quirefold import plans
+from quirefold.operators import similarity
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +16,33 @@ def test_texts_are_not_broadcast(spark, name):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
     plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+@pytest.fixture
+def crowded(spark, monkeypatch):
+    """Statements of a hot group that is cut into tiles, of small groups, and of none."""
+    monkeypatch.setattr(similarity, "TILE", 7)
+    monkeypatch.setattr(similarity, "_CELLS", 24)
+    monkeypatch.setattr(similarity, "_GRAMS", 3)
+    rng = random.Random(4)
+    texts = {(g, f"{g}{i:02}"): "".join(rng.choice("abcd中𠀀") for _ in range(rng.randrange(2, 14))) for g, n in (("h", 40), ("i", 9), ("s", 4), ("t", 1)) for i in range(n)}
+    df = spark.createDataFrame([(*k, t) for k, t in texts.items()] + [(None, "n", "abab"), (None, "m", "abab")], "g string, id string, t string")
+    return similarity.with_features(df, "t").where("size(grams) > 0")
+
+
+def _sets(df):
+    return {(r["g"], r["id"]): set(r["grams"]) for r in df.collect() if r["g"]}
+
+
+def test_near_pairs_in_tiles(crowded):
+    sets = _sets(crowded)
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    want = {(a[0], a[1], b[1], round(dice(x, y), 9)) for a, x in sets.items() for b, y in sets.items() if a[0] == b[0] and a < b and dice(x, y) >= 0.5}
+    got = [(r["g"], r["key_a"], r["key_b"], round(r["dice"], 9)) for r in similarity.near_pairs(crowded, ["g"], "id", 0.5).collect()]
+    assert len(got) == len(want) > 9 and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["dice_near_duplicates"])
+def test_only_lists_of_hot_groups_are_broadcast(spark, name):
+    plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1
