@@ -262,7 +262,7 @@ def greedy_novelty(nodes: DataFrame, pairs: DataFrame, key: str, order: str) ->
     at = nodes.select(F.col(key).alias("k"), F.col(order).alias("o")).distinct()
     a = at.select(F.col("k").alias("key_a"), F.col("o").alias("oa"))
     b = at.select(F.col("k").alias("key_b"), F.col("o").alias("ob"))
-    both = pairs.select("key_a", "key_b").join(a, "key_a").join(b, "key_b")
+    both = pairs.select("key_a", "key_b").join(a.hint("merge"), "key_a").join(b.hint("merge"), "key_b")
     first = F.when(F.struct("oa", "key_a") < F.struct("ob", "key_b"), F.struct(F.col("key_a").alias("early"), F.col("key_b").alias("late"))).otherwise(F.struct(F.col("key_b").alias("early"), F.col("key_a").alias("late")))
     edges = cut_lineage(both.select(first.alias("e")).select("e.early", "e.late").distinct())
     kept = dropped = None
@@ -278,4 +278,4 @@ def greedy_novelty(nodes: DataFrame, pairs: DataFrame, key: str, order: str) ->
         open_ = cut_lineage(open_.join(settled.select(F.col("k").alias("early")), "early", "left_anti").join(settled.select(F.col("k").alias("late")), "late", "left_anti"))
     if dropped is None:
         return nodes
-    return nodes.join(dropped.select(F.col("k").alias(key)).distinct(), key, "left_anti")
+    return nodes.join(dropped.select(F.col("k").alias(key)).distinct().hint("merge"), key, "left_anti")

@@ -42,6 +42,14 @@ def test_near_pairs_in_tiles(crowded):
     assert len(got) == len(want) > 9 and set(got) == want
 
 
+def test_greedy_novelty_merges_by_key(spark):
+    n = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, o string")
+    p = spark.createDataFrame([("a", "b"), ("b", "c")], "key_a string, key_b string")
+    kept = similarity.greedy_novelty(n, p, "k", "o")
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["k"] for r in kept.collect()) == ["a", "c"]
+
+
 @pytest.mark.parametrize("name", ["dice_near_duplicates"])
 def test_only_lists_of_hot_groups_are_broadcast(spark, name):
     plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
