@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.operators import support
+from quirefold.operators.similarity import earlier_alike
 from quirefold.plans.graph import _AC, _CL, _R, _angle_claims, _claims, _refs
 from quirefold.plans.texts import _G, _H, _WORDS, _norm
 from quirefold.session import table
@@ -85,14 +87,10 @@ def angle_support(spark, sf):
 
 def repeated_statements(spark, sf):
     """Claims that say much of what an earlier claim of their chapter says:
-    by Dice value or by the share of the shorter one. Claims meet by pairs of
-    characters in common, counted; the chapter's claims are not paired."""
+    by Dice value or by the share of the shorter one."""
     c = _claims(spark, sf).where("chapter_id is not null").withColumn("g", T.bigrams(T.normalize("statement"))).where(F.size("g") > 0)
-    grams = c.select("chapter_id", "claim_id", F.size("g").alias("n"), F.explode("g").alias("g"))
-    b = grams.select("chapter_id", F.col("claim_id").alias("earlier_id"), F.col("n").alias("m"), "g")
-    hits = grams.join(b, ["chapter_id", "g"]).where("earlier_id < claim_id").groupBy("claim_id", "earlier_id", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    hit = (2 * F.col("k") / (F.col("n") + F.col("m")) >= 0.55) | (F.col("k") / F.least("n", "m") >= 0.5)
-    return hits.where(hit).groupBy("claim_id").agg(F.min("earlier_id").alias("earlier_id"), F.count(F.lit(1)).alias("n"))
+    hit = lambda k, n, m: (2 * k / (n + m) >= 0.55) | (k / np.minimum(n, m) >= 0.5)
+    return earlier_alike(c.withColumnRenamed("g", "grams"), ["chapter_id"], "claim_id", hit).select("claim_id", F.col("first").alias("earlier_id"), "n")
 
 
 _F = "list_distinct(list_concat(" + _G.format("{n}") + ", {w}))"

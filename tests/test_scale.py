@@ -50,7 +50,28 @@ def test_greedy_novelty_merges_by_key(spark):
     assert sorted(r["k"] for r in kept.collect()) == ["a", "c"]
 
 
-@pytest.mark.parametrize("name", ["dice_near_duplicates"])
+@pytest.mark.parametrize("name", ["dice_near_duplicates", "repeated_statements", "best_evidence_block"])
 def test_only_lists_of_hot_groups_are_broadcast(spark, name):
     plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastExchange") == 1
+
+
+def test_earlier_alike_in_tiles(crowded):
+    sets = _sets(crowded)
+    hits = lambda a, x: sorted(b[1] for b, y in sets.items() if a[0] == b[0] and b < a and 2 * len(x & y) >= min(len(x), len(y)) and x & y)
+    want = {(*a, found[0], len(found)) for a, x in sets.items() if (found := hits(a, x))}
+    got = similarity.earlier_alike(crowded, ["g"], "id", lambda k, n, m: 2 * k >= (n + m - abs(n - m)) / 2).collect()
+    assert {(r["g"], r["id"], r["first"], r["n"]) for r in got} == want and len(got) == len(want) > 9
+
+
+def test_best_match_in_tiles(crowded):
+    left = crowded.selectExpr("g", "concat('l', id) l", "grams")
+    right = crowded.where("id not in ('h01', 'h02')").selectExpr("g", "concat('r', id) r", "grams")
+    sets = _sets(crowded)
+    want = set()
+    for a, x in sets.items():
+        score, least = min((-len(x & y) / len(x), "r" + b[1]) for b, y in sets.items() if a[0] == b[0] and b[1] not in ("h01", "h02"))
+        if score:
+            want.add((a[0], "l" + a[1], least, -score))
+    got = similarity.best_match(left, right.union(right), ["g"], "l", "r").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
