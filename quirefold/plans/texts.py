@@ -79,8 +79,9 @@ def support_grade(spark, sf):
 def best_evidence_block(spark, sf):
     """For every claim the block of its chapter that covers most of it."""
     c = with_features(_claims(spark, sf), "statement").withColumn("cid", F.concat_ws("~", "claim_id", F.md5("statement")))
-    b = with_features(_blocks(spark, sf), "original_text").withColumn("bid", F.concat_ws("~", "block_id", F.md5("original_text")))
-    best = best_match(c.where("chapter_id is not null"), b.where("chapter_id is not null").dropDuplicates(["book_id", "chapter_id", "bid"]), ["book_id", "chapter_id"], "cid", "bid")
+    b = table(spark, sf, "blocks").select("book_id", "chapter_id", "block_id", "original_text").where("original_text is not null")
+    b = with_features(b, "original_text").withColumn("bid", F.concat_ws("~", "block_id", F.md5("original_text")))
+    best = best_match(c.where("chapter_id is not null"), b.where("chapter_id is not null"), ["book_id", "chapter_id"], "cid", "bid")
     return best.select("book_id", "chapter_id", F.split("cid", "~")[0].alias("claim_id"), F.split("bid", "~")[0].alias("block_id"), F.round("score", 6).alias("score"))
 
 
