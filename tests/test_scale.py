@@ -5,7 +5,8 @@ import random
 import pytest
 
 from quirefold import plans
-from quirefold.operators import similarity
+from quirefold.operators import similarity, support
+from quirefold.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +76,14 @@ def test_best_match_in_tiles(crowded):
             want.add((a[0], "l" + a[1], least, -score))
     got = similarity.best_match(left, right.union(right), ["g"], "l", "r").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_calibration_writes_no_texts_of_evidence(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(support, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
+    c = spark.createDataFrame([("c", "灯塔值班记录", None, ["大雾停航以后的渡船"], None)], "claim_id string, statement string, evidence_support string, applies_to array<string>, does_not_apply_to array<string>")
+    e = spark.createDataFrame([("c", f"e{i}", i, t, None) for i, t in enumerate(("灯塔", "值班记录渡", "船"))], "claim_id string, evidence_id string, n int, excerpt string, summary string")
+    issues, graded = support.calibrate(c, e)
+    assert not {"excerpt", "norm", "ef"} & {x for cols in written for x in cols} and any("evidence_id" in cols for cols in written)
+    assert [r["evidence_support"] for r in graded.collect()] == ["strong"]
+    assert {(r["code"], r["evidence_id"]) for r in issues.collect() if r["evidence_id"]} == {("EVIDENCE_CLAIM_MISMATCH", "e2"), ("SEVERE_EXCERPT_MISMATCH", "e2")}
