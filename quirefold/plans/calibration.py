@@ -18,10 +18,13 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The blocks that claims cite: one excerpt per block, with the caption
     or heading of its page as its summary, if there is one."""
     b = table(spark, sf, "blocks").where("block_id is not null")
-    text = b.groupBy("book_id", "block_id").agg(F.min("original_text").alias("excerpt"), F.min("page").alias("page"))
+    text = b.groupBy("book_id", "block_id").agg(F.min("original_text").alias("excerpt"))
+    pages = b.groupBy("book_id", "block_id").agg(F.min("page").alias("page"))
     heads = b.where("block_type in ('caption', 'heading')").groupBy("book_id", "page").agg(F.min("original_text").alias("summary"))
     refs = _refs(spark, sf).where("ref_type = 'book' and owner_kind = 'claim' and owner_id is not null").groupBy(F.col("owner_id").alias("claim_id"), "book_id", "block_id").agg(F.min("ref_id").alias("n"))
-    j = refs.join(text, ["book_id", "block_id"]).join(heads, ["book_id", "page"], "left")
+    # the texts of blocks, by far the most of it, are sent once: to the refs
+    named = refs.join(pages.hint("merge"), ["book_id", "block_id"]).join(heads.hint("merge"), ["book_id", "page"], "left").drop("page")
+    j = named.join(text.hint("merge"), ["book_id", "block_id"])
     return j.select("claim_id", F.concat_ws("/", "book_id", "block_id").alias("evidence_id"), "n", F.coalesce("excerpt", F.lit("")).alias("excerpt"), "summary")
 
 
