@@ -118,6 +118,7 @@ def enforce(claims: DataFrame, evidence: DataFrame, group: str, passes: int = 3)
     that take another pass, up to ``passes``; others are done. Each pass cuts
     its lineage; it stops when no group is left.
     """
+    evidence = cut_lineage(evidence)
     open_groups = None
     for _ in range(passes):
         mine = claims if open_groups is None else claims.join(open_groups, group, "left_semi")
