@@ -75,11 +75,12 @@ def calibrate(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFr
     covered = used.select("claim_id", F.explode("cover").alias("f")).unionByName(seams.join(c.select("claim_id", "sf").hint("merge"), "claim_id").where(F.array_contains("sf", F.col("seam"))).select("claim_id", F.col("seam").alias("f")))
     covered = covered.distinct().groupBy("claim_id").agg(F.count(F.lit(1)).alias("covered"))
     sums = pairs.groupBy("claim_id").agg(F.count(F.lit(1)).alias("pairs"), F.max(F.col("grade") != T.GRADES[0]).alias("used"), F.max((F.col("grade") != T.GRADES[0]) & F.col("causes")).alias("causes"), F.max((F.col("grade") != T.GRADES[0]) & F.col("universal")).alias("universal"))
-    # scopes: distinct features that the evidence covers
+    # scopes: distinct features that the evidence covers; merged by key, as by
+    # the size of their file a claim's features look small enough for the driver
     asked = scopes.where("long").select("claim_id", "scope", F.explode("f").alias("f"))
-    met = asked.join(used.select("claim_id", F.explode("asked").alias("f")).unionByName(seams.select("claim_id", F.col("seam").alias("f"))).distinct(), ["claim_id", "f"]).groupBy("claim_id", "scope").agg(F.count(F.lit(1)).alias("met"))
+    met = asked.join(used.select("claim_id", F.explode("asked").alias("f")).unionByName(seams.select("claim_id", F.col("seam").alias("f"))).distinct().hint("merge"), ["claim_id", "f"]).groupBy("claim_id", "scope").agg(F.count(F.lit(1)).alias("met"))
     specific = F.col("long") & ~T.collapse("scope").rlike(T.GENERIC_SCOPE)
-    per_scope = scopes.join(met, ["claim_id", "scope"], "left").groupBy("claim_id").agg(
+    per_scope = scopes.join(met.hint("merge"), ["claim_id", "scope"], "left").groupBy("claim_id").agg(
         F.max(specific).alias("specific"), F.max(F.col("scope").rlike(T.UNIVERSAL)).alias("asks_universal"), F.max(F.col("long") & (F.coalesce("met", F.lit(0)) / F.greatest("size", F.lit(1)) < LEAST_SCOPE)).alias("unmet")
     )
     j = c.join(sums.hint("merge"), "claim_id", "left").join(covered.hint("merge"), "claim_id", "left").join(per_scope.hint("merge"), "claim_id", "left")

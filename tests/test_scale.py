@@ -87,3 +87,32 @@ def test_calibration_writes_no_texts_of_evidence(spark, monkeypatch):
     assert not {"excerpt", "norm", "ef"} & {x for cols in written for x in cols} and any("evidence_id" in cols for cols in written)
     assert [r["evidence_support"] for r in graded.collect()] == ["strong"]
     assert {(r["code"], r["evidence_id"]) for r in issues.collect() if r["evidence_id"]} == {("EVIDENCE_CLAIM_MISMATCH", "e2"), ("SEVERE_EXCERPT_MISMATCH", "e2")}
+
+
+@pytest.fixture
+def cited():
+    """Claims of a chapter with scopes, and blocks that support them or don't."""
+    c = [(f"c{i}", "k", "灯塔值班记录", None, ["大雾停航以后的渡船"], None) for i in range(4)]
+    e = [(f"c{i}", f"e{j}", j, t, None) for i in range(3) for j, t in enumerate(("灯塔", "值班记录渡", "船")[: i + 1])]
+    return c, e
+
+
+@pytest.fixture
+def tables(spark, cited):
+    return spark.createDataFrame(cited[0], "claim_id string, chapter_id string, statement string, evidence_support string, applies_to array<string>, does_not_apply_to array<string>"), spark.createDataFrame(cited[1], "claim_id string, evidence_id string, n int, excerpt string, summary string")
+
+
+@pytest.fixture
+def broadcasts(spark, monkeypatch):
+    """Whether a table, or what was written for it by then, is broadcast."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+    seen = lambda df: "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+    written = []
+    monkeypatch.setattr(support, "cut_lineage", lambda df: written.append(seen(df)) or cut_lineage(df))
+    return lambda df: seen(df) or any(written)
+
+
+def test_issues_of_claims_are_not_broadcast(tables, broadcasts):
+    issues = support.calibrate(*tables)[0]
+    assert not broadcasts(issues)
+    assert {(r["code"], r["claim_id"]) for r in issues.collect()} > {("CORE_CLAIM_WITHOUT_DIRECT_EVIDENCE", "c3"), ("SEVERE_EXCERPT_MISMATCH", "c2")}
