@@ -108,7 +108,7 @@ def calibrate(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFr
         lambda x: x.isNotNull(),
     )
     issues = j.select(F.explode("codes").alias("code"), "claim_id", F.lit(None).cast("string").alias("evidence_id")).unionByName(pairs.select(F.explode(of_pairs).alias("code"), "claim_id", F.col("evidence_id").cast("string").alias("evidence_id")))
-    return issues, claims.drop("evidence_support").join(j.select("claim_id", F.col("support").alias("evidence_support")), "claim_id")
+    return issues, claims.drop("evidence_support").join(j.select("claim_id", F.col("support").alias("evidence_support")).hint("merge"), "claim_id")
 
 
 def enforce(claims: DataFrame, evidence: DataFrame, group: str, passes: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -116,3 +116,9 @@ def test_issues_of_claims_are_not_broadcast(tables, broadcasts):
     issues = support.calibrate(*tables)[0]
     assert not broadcasts(issues)
     assert {(r["code"], r["claim_id"]) for r in issues.collect()} > {("CORE_CLAIM_WITHOUT_DIRECT_EVIDENCE", "c3"), ("SEVERE_EXCERPT_MISMATCH", "c2")}
+
+
+def test_corrected_claims_are_not_broadcast(tables, broadcasts):
+    graded = support.calibrate(*tables)[1]
+    assert not broadcasts(graded)
+    assert {r["claim_id"]: r["evidence_support"] for r in graded.collect()} == {"c0": "partial", "c1": "strong", "c2": "strong", "c3": "unsupported"}
