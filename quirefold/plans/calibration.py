@@ -42,7 +42,7 @@ def claim_support_corrected(spark, sf):
 def claim_enforcement_fixpoint(spark, sf):
     """Claims and evidence that are left when all objections are enforced."""
     claims, evidence = support.enforce(_claims(spark, sf).where("chapter_id is not null"), _evidence(spark, sf), "chapter_id")
-    return claims.join(evidence, "claim_id", "left").groupBy("claim_id", "chapter_id", F.col("evidence_support").alias("support")).agg(F.count("evidence_id").alias("pairs"))
+    return claims.join(evidence.hint("merge"), "claim_id", "left").groupBy("claim_id", "chapter_id", F.col("evidence_support").alias("support")).agg(F.count("evidence_id").alias("pairs"))
 
 
 def match_scores(spark, sf):

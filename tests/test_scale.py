@@ -122,3 +122,17 @@ def test_corrected_claims_are_not_broadcast(tables, broadcasts):
     graded = support.calibrate(*tables)[1]
     assert not broadcasts(graded)
     assert {r["claim_id"]: r["evidence_support"] for r in graded.collect()} == {"c0": "partial", "c1": "strong", "c2": "strong", "c3": "unsupported"}
+
+
+def test_enforcement_is_not_broadcast_and_measures_once(tables, broadcasts, monkeypatch):
+    asked = []
+    grade = support.lexical_grade
+    monkeypatch.setattr(support, "lexical_grade", lambda *a: asked.append(a) or grade(*a))
+    claims, evidence = support.enforce(*tables, "chapter_id")
+    assert not broadcasts(claims) and not broadcasts(evidence) and len(asked) == 2
+    assert [(r["claim_id"], r["evidence_support"]) for r in claims.collect()] == []
+    assert evidence.count() == 0
+
+
+def test_enforcement_query_is_not_broadcast(spark, broadcasts):
+    assert not broadcasts(plans.queries()["claim_enforcement_fixpoint"](spark, SF))
